@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import report_queries, rule_queries  # noqa: F401
+from . import enrich_queries, report_queries, rule_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

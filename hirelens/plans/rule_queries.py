@@ -126,7 +126,7 @@ def q_curated_projection(spark, sf):
 # ------------------------------------------------------------------ C10
 _ROLE_INPUT_SQL = ("CASE id % 4 WHEN 0 THEN 'Senior ' || job_title || ' (m/f)' "
                    "WHEN 1 THEN 'junior ' || job_title || ' with ' || core_role "
-                   "WHEN 2 THEN job_title || ' [' || core_role || '] in ' || city "
+                   "WHEN 2 THEN job_title || ' engineer [' || core_role || '] in ' || city "
                    "ELSE 'Team Lead ' || job_title || ' | remote' END")
 
 
@@ -135,7 +135,7 @@ def _role_input():
     jt, cr = F.col("job_title"), F.col("core_role")
     return (F.when(i == 0, F.concat(F.lit("Senior "), jt, F.lit(" (m/f)")))
             .when(i == 1, F.concat(F.lit("junior "), jt, F.lit(" with "), cr))
-            .when(i == 2, F.concat(jt, F.lit(" ["), cr, F.lit("] in "), F.col("city")))
+            .when(i == 2, F.concat(jt, F.lit(" engineer ["), cr, F.lit("] in "), F.col("city")))
             .otherwise(F.concat(F.lit("Team Lead "), jt, F.lit(" | remote"))))
 
 
