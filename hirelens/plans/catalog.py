@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import enrich_queries, report_queries, rule_queries  # noqa: F401
+from . import (data_queries, enrich_queries, report_queries,  # noqa: F401
+               rule_queries, subscription_queries)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
