@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (data_queries, enrich_queries, report_queries,  # noqa: F401
-               rule_queries, subscription_queries)
+               rule_queries, subscription_queries, textmine_queries)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
