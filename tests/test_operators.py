@@ -1,0 +1,258 @@
+"""Operator tests: brute-force cross-checks of the blocked joins and
+properties of facets, filters, dedup and sinks on small fixtures."""
+
+import math
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from hirelens.operators import dedup, enrich, facets, filters, subscriptions, textmine
+from hirelens.sources import extract, sinks
+
+GAZ = [  # city, city_ascii, admin, lat, lng  (file order)
+    ("Warszawa", "Warsaw", "Mazowieckie", 52.2, 21.0),
+    ("Kraków", "Krakow", "Małopolskie", 50.06, 19.94),
+    ("Łódź", "Lodz", "Łódzkie", 51.76, 19.46),
+    ("Ełk", "Elk", "Warmińsko-Mazurskie", 53.8, 22.4),
+    ("Gdańsk", "Gdansk", "Pomorskie", 54.35, 18.65),
+    ("Kraków", "Krakow", "Other", 1.0, 1.0),  # duplicated city: first row wins
+]
+
+
+def gaz_df(spark):
+    rows = [(c, a, r, r, la, lo, i) for i, (c, a, r, la, lo) in enumerate(GAZ)]
+    return spark.createDataFrame(rows, "city string, city_ascii string, admin_name string, "
+                                       "admin_name_english string, lat double, lng double, gaz_order long")
+
+
+def brute_locate(loc):
+    cities = {}
+    for piece in loc.split(","):
+        p = piece.strip().lower()
+        city = next((c for c, *_ in GAZ if c.lower() in p), None)
+        if city is None:
+            asc = next((a for _, a, *_ in GAZ if a.lower() in p), None)
+            if asc is not None:
+                city = next(c for c, a, *_ in GAZ if a == asc)
+        if city == "Warsaw":
+            city = "Warszawa"
+        if city:
+            row = next(g for g in GAZ if g[0] == city)
+            cities[city] = row
+    if not cities:
+        return "Remote", "Remote"
+    return ";".join(sorted(cities)), ";".join(sorted({r[2] for r in cities.values()}))
+
+
+def test_locate_matches_brute_force(spark):
+    locs = ["Warszawa, Mazowieckie", "Krakow (50% remote)", "Gdańsk,Łódź", "Moon", "ul. Ełkowa, Warsaw",
+            "Kraków, Kraków", '"100% time"', "N/A"]
+    df = spark.createDataFrame([(i, l) for i, l in enumerate(locs)], "id int, loc string")
+    got = {r["id"]: (r["city"], r["region"]) for r in enrich.locate(df, "loc", gaz_df(spark)).collect()}
+    for i, l in enumerate(locs):
+        assert got[i] == brute_locate(l), l
+
+
+def test_locate_coordinates_aligned(spark):
+    df = spark.createDataFrame([(1, "Gdańsk, Warszawa")], "id int, loc string")
+    r = enrich.locate(df, "loc", gaz_df(spark)).collect()[0]
+    assert r["city"] == "Gdańsk;Warszawa" and r["lat"] == "54.35;52.2" and r["long"] == "18.65;21.0"
+    r = enrich.locate(spark.createDataFrame([(1, "Moon")], "id int, loc string"), "loc", gaz_df(spark)).collect()[0]
+    assert (r["city"], r["region"], r["lat"], r["long"], r["work_type"]) == ("Remote", "Remote", "None", "None", "Full Time")
+
+
+def brute_containment(names):
+    out = {}
+    for a in set(names):
+        cands = [b for b in set(names) if b != a and a in b]
+        if cands:
+            out[a] = sorted(cands, key=lambda b: (-len(b), b))[0]
+    return out
+
+
+def test_containment_matches_brute_force(spark):
+    names = ["Acme", "Acme Labs", "Acme Labs Poland", "Ac", "X", "Xenon", "Bolt", "Bolt", "Labs", "cme"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r["name"]: r["_to"] for r in enrich.containment_map(df, "name").collect()}
+    assert got == brute_containment(names)
+
+
+def test_technology_enrichment_matches_brute_force(spark):
+    rows = [(1, "JAVA;SQL", "Java developer", "Spring, Kafka and sql."),
+            (2, "N/A", "Data engineer", "python (PYTHON) C# ai"),
+            (3, "N/A", "Nothing", "none here")]
+    df = spark.createDataFrame(rows, "id int, technologies_used string, title string, req string")
+    vocab = spark.createDataFrame([(t,) for t in ["JAVA", "SQL", "SPRING", "KAFKA", "PYTHON", "C#", "AI", "DATA",
+                                                 "GO"]], "tech string")
+    out = {r["id"]: r["technologies_used"] for r in
+           enrich.enrich_technologies(df, "id", "technologies_used", ["title", "req"], vocab).collect()}
+    assert out[1] == "JAVA;KAFKA;SPRING;SQL"
+    assert out[2] == "AI;C#;PYTHON"  # DATA is a stop name, GO is short and not kept
+    assert out[3] == "N/A"
+
+
+def _sk_cosine(query, titles):
+    """Brute force: TF-IDF fitted on [query] + titles (smooth idf, l2)."""
+    docs = [query] + titles
+    tok = [re.findall(r"(?u)\b\w\w+\b", d.lower()) for d in docs]
+    n = len(docs)
+    vocab = sorted({t for ts in tok for t in ts})
+    dfreq = {t: sum(1 for ts in tok if t in ts) for t in vocab}
+    idf = {t: math.log((1 + n) / (1 + dfreq[t])) + 1 for t in vocab}
+    vecs = []
+    for ts in tok:
+        v = {t: ts.count(t) * idf[t] for t in set(ts)}
+        nrm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        vecs.append({t: x / nrm for t, x in v.items()})
+    q = vecs[0]
+    return [sum(q.get(t, 0) * x for t, x in v.items()) for v in vecs[1:]]
+
+
+def test_nearest_title_matches_brute_force(spark):
+    titles = ["Java Developer", "Python Developer", "Data Engineer", "Java Developer", "Frontend Developer",
+              "Senior Java Software Engineer", "QA Engineer"]
+    queries = ["Java Developer", "Data Engineer Python", "Qa", "Frontend Engineer", "Java Software", "Sales Manager"]
+    tdf = spark.createDataFrame(list(enumerate(titles)), "idx int, title string")
+    qdf = spark.createDataFrame([(q,) for q in queries], "q string")
+    got = {r["q"]: (r["core_role"], r["_score"]) for r in enrich.nearest_title(qdf, "q", tdf).collect()}
+    for q in queries:
+        cos = _sk_cosine(q, titles)
+        best = max(range(len(titles)), key=lambda i: (round(cos[i], 12), -i))
+        want = titles[best] if cos[best] > 0.7 else q.title()
+        assert got[q][0] == want, (q, cos)
+        if cos[best] > 0.7:
+            assert got[q][1] == pytest.approx(cos[best], abs=1e-12)
+
+
+def test_top_k_with_others_sums(spark):
+    counts = spark.createDataFrame([(f"c{i}", 1) for i in range(11)], "City string, Count long")
+    out = facets.top_k_with_others(counts, "City", "Count", 9).collect()
+    assert len(out) == 10 and sum(r["Count"] for r in out) == 11
+    assert [r["Count"] for r in out if r["City"] == "Others"] == [2]
+
+
+def test_minmax_scale(spark):
+    df = spark.createDataFrame([(1,), (3,), (5,)], "Count int")
+    assert sorted(r["Size"] for r in facets.minmax_scale(df, "Count", 10, 40).collect()) == [10, 25, 40]
+    df = spark.createDataFrame([(2,), (2,)], "Count int")
+    assert {r["Size"] for r in facets.minmax_scale(df, "Count", 10, 40).collect()} == {10.0}
+
+
+def test_filters_identity_and_order(spark):
+    df = spark.createDataFrame([(1, "A;B", 1, 0, 0), (2, "b", 0, 1, 1)], "id int, city string, junior int, hybrid int, remote int")
+    assert filters.apply_filters(df, {}, "2024-01-01").count() == 2
+    spec = {"city": "b", "work_type": "Hybrid"}
+    assert [r.id for r in filters.apply_filters(df, spec, "2024-01-01").collect()] == [2]
+    assert filters.apply_filters(filters.apply_filters(df, {"work_type": "Hybrid"}, "x"), {"city": "b"}, "x").count() == 1
+    assert filters.date_range(spark.createDataFrame([("2024-01-05",)], "d string"), "d", "2024-01-31", "2024-01-01").count() == 1
+
+
+def test_keep_first_and_dedup_idempotent(spark):
+    df = spark.createDataFrame([("k", 2, "b"), ("k", 1, "a"), ("j", 5, "z")], "id string, seq int, v string")
+    out = {r["id"]: r["v"] for r in dedup.keep_first(df, ["id"], ["seq"]).collect()}
+    assert out == {"k": "a", "j": "z"}
+    stored = dedup.keep_first(df, ["id"], ["seq"])
+    again = dedup.drop_existing(df, stored, "id")
+    assert again.count() == 0
+
+
+def test_upsert_last_writer_wins(spark, tmp_path):
+    old = spark.createDataFrame([("d1", "m", 1.0, 1), ("d2", "m", 2.0, 1)], "g string, metric string, value double, version int")
+    new = spark.createDataFrame([("d1", "m", 9.0, 2)], "g string, metric string, value double, version int")
+    out = {(r["g"], r["metric"]): r["value"] for r in sinks.upsert(old, new, ["g", "metric"]).collect()}
+    assert out == {("d1", "m"): 9.0, ("d2", "m"): 2.0}
+    p1 = sinks.upsert_to_path(spark, None, old, ["g", "metric"], str(tmp_path))
+    p2 = sinks.upsert_to_path(spark, p1, new, ["g", "metric"], str(tmp_path))
+    p3 = sinks.upsert_to_path(spark, p2, new, ["g", "metric"], str(tmp_path))
+    assert p1 != p2 and spark.read.parquet(p3).count() == 2  # idempotent, old version kept
+    assert spark.read.parquet(p1).count() == 2
+
+
+def test_split_valid_reviews(spark, tmp_path):
+    df = spark.createDataFrame([("Good",), ("Superb",), (None,)], "rating_label string")
+    bad = sinks.append_reviews(df, str(tmp_path / "r"))
+    assert bad.count() == 2 and spark.read.parquet(str(tmp_path / "r")).collect()[0]["rating"] == 4
+
+
+def test_subscription_matching_equals_per_subscription_filter(spark):
+    posts = spark.createDataFrame([
+        (1, "NATION_1;NATION_12", "ECO", "Customer#1", 1, 0, 0, 0, 0, 1, 0, 1, 0, "2024-01-09", "2024-02-01"),
+        (2, "NATION_2", "ECO", "Customer#2", 0, 1, 0, 0, 0, 0, 1, 0, 1, "2024-01-09", "2023-01-01"),
+        (3, "NATION_3", "PRO", "Customer#12", 0, 0, 1, 0, 0, 1, 1, 0, 0, "2024-01-08", "2024-05-01"),
+    ], "id int, city string, core_role string, employer_name string, internship int, junior int, middle int, "
+       "senior int, lead int, full_time int, hybrid int, remote int, language_chinese_mandarin int, "
+       "date_posted string, expiration string").withColumn("date_posted", F.to_date("date_posted")) \
+        .withColumn("expiration", F.to_date("expiration"))
+    specs = [{}, {"city": "nation_1"}, {"experience_level": "🌱 Junior;👶 Intern"}, {"work_type": "Hybrid"},
+             {"language": "Mandarin 🇨🇳", "expiration_date": "current"}, {"company": "Customer#1"},
+             {"city": "n", "work_type": "Remote"}, {"experience_level": "Unknown"}, {"work_type": "Nope"}]
+    import json
+    subs = spark.createDataFrame([(i, json.dumps(s)) for i, s in enumerate(specs)] + [(99, "{bad"), (98, None)],
+                                 "chat_id int, filters string")
+    parsed = subscriptions.parse_filters(subs)
+    assert parsed.count() == len(specs)
+    got = {(r["chat_id"], r["id"]) for r in subscriptions.match_subscriptions(posts, parsed, "2024-01-10", 5).collect()}
+    want = set()
+    for i, s in enumerate(specs):
+        for r in filters.apply_filters(posts, s, "2024-01-10").collect():
+            want.add((i, r["id"]))
+    assert got == want
+
+
+def test_digest_small_and_large(spark):
+    m = spark.createDataFrame([(1, i, f"T{i}", "E", f"u{i}") for i in range(3)] +
+                              [(2, i, "T", "E", "u") for i in range(20)],
+                              "chat_id int, id int, job_title string, employer_name string, url string")
+    subs = spark.createDataFrame([(1,), (2,), (3,)], "chat_id int")
+    out = {r["chat_id"]: r for r in subscriptions.digest(m, subs).collect()}
+    assert out[1]["message"].count("📌") == 3 and out[1]["message"].index("T0") < out[1]["message"].index("T2")
+    assert out[2]["message"].startswith("Hi, for yesterday we had 20 jobs")
+    assert out[3]["n"] == 0
+
+
+def test_page_extraction():
+    html = ('<html><head><title>Acme</title><script>var t="</p>";</script></head><body>'
+            '<nav><ul><li><a href="/a">A</a></li><li>B</li></ul></nav><div class="ad x">Promo &amp; more</div>'
+            '<h1>Data Engineer</h1><p>first<p>second <b>bold</b></p></body></html>')
+    name, f = extract.extract_page("https://x.example/jobs/1", html)
+    assert f["job_title"] == "Data Engineer" and f["employer_name"] == "Acme"
+    assert f["responsibilities"] == "first;second" and f["benefits"] == "B"
+    assert f["offering"] == "Promo & more" and f["links_text"] == "A"
+
+
+def test_page_links(spark):
+    df = spark.createDataFrame([(1, "https://h.example/a/b?x=1", '<a href="/r">x</a><a href="rel">y</a>'
+                                 '<a href="//cdn.example/z">z</a><a href="mailto:a@b">m</a>')],
+                               "page_id long, url string, html string")
+    got = {r["link"] for r in extract.page_links(df).collect()}
+    assert got == {"https://h.example/r", "https://h.example/a/rel", "https://cdn.example/z", "mailto:a@b"}
+
+
+def test_bigram_tfidf_matches_brute_force(spark):
+    texts = ["Great team building great team events", "Team building and cloud data platforms",
+             "Cloud cloud data", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["bigram"]: r["score"] for r in textmine.bigram_tfidf(df, "id", "text").collect()}
+    from hirelens.functions.text import stop_words
+    stops = set(stop_words())
+    docs = []
+    for t in [t for t in texts if t is not None]:
+        toks = [w for w in re.sub(r" +", " ", re.sub(r"[^a-zA-Z0-9]+", " ", t.lower())).split(" ")
+                if len(w) > 3 and w not in stops]
+        first = [f"{a} {b}" for a, b in zip(toks, toks[1:]) if a != b]
+        words = " ".join(first).split()
+        docs.append([f"{a} {b}" for a, b in zip(words, words[1:])])
+    n = len(docs)
+    vocab = {g for d in docs for g in d}
+    dfreq = {g: sum(1 for d in docs if g in d) for g in vocab}
+    score = {g: 0.0 for g in vocab}
+    for d in docs:
+        w = {g: d.count(g) * (math.log((1 + n) / (1 + dfreq[g])) + 1) for g in set(d)}
+        nrm = math.sqrt(sum(x * x for x in w.values())) or 1
+        for g, x in w.items():
+            score[g] += x / nrm
+    want = {g: s for g, s in score.items() if g.split()[0] != g.split()[1]}
+    assert set(got) == set(want)
+    for g in want:
+        assert got[g] == pytest.approx(want[g], rel=1e-12)
