@@ -256,3 +256,17 @@ def test_bigram_tfidf_matches_brute_force(spark):
     assert set(got) == set(want)
     for g in want:
         assert got[g] == pytest.approx(want[g], rel=1e-12)
+
+
+def test_shaping(spark):
+    from hirelens.operators import shaping
+    df = spark.createDataFrame([("TRUE", "x", "TRUE"), ("0", "y", "FALSE")], "a string, b string, c string")
+    out = shaping.flags_to_int(df, ["a", "c"]).collect()
+    assert [(r.a, r.b, r.c) for r in out] == [(1, "x", 1), (0, "y", 0)]  # b untouched (Q15)
+    with pytest.raises(ValueError):
+        shaping.rename_positional(df, ["only_one"])
+    assert shaping.rename_known(df, {"a": "A", "zz": "Z"}).columns == ["A", "b", "c"]
+    p = shaping.with_provenance(df, "2024-10-02", "site_a").collect()[0]
+    assert p.upload_id == "2024-10-01 00:00:00_site_a" and str(p.date_posted) == "2024-10-01"
+    d = shaping.date_parts(spark.createDataFrame([("2024-01-01",)], "d string"), "d").collect()[0]
+    assert d.weekday_name == "Monday" and d.month == "2024-01"

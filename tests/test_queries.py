@@ -12,8 +12,8 @@ from conftest import SF001
 from hirelens.sources.tables import TABLES
 
 ROWS_ONLY = {"page_fields", "curated_batch", "curated_append", "dual_sink", "export_csv", "review_append",
-             "csv_dim", "geojson_dim", "incremental_ingest"}
-SLOW = {"curated_append", "incremental_ingest", "dual_sink"}
+             "csv_dim", "geojson_dim", "incremental_ingest", "report_columns"}
+SLOW = {"curated_append", "incremental_ingest", "dual_sink", "report_columns"}
 
 
 def _norm(v):
