@@ -56,12 +56,10 @@ def exploded_counts(df: DataFrame, col: str, sep: str = ";", upper: bool = True,
 
 
 def with_share(counts: DataFrame, count_col: str = "n", out: str = "share") -> DataFrame:
-    """Share of total per category.  The total is a global aggregate
-    cross-joined as a single row (one value, not a window over one task)."""
-    total = counts.agg(F.sum(count_col).alias("_total"))
-    return (counts.crossJoin(F.broadcast(total))
-            .withColumn(out, F.when(F.col("_total") > 0, F.col(count_col) / F.col("_total")))
-            .drop("_total"))
+    """Share of total per category.  The total is a scalar subquery
+    (one global aggregate, evaluated once; no join, no window over one task)."""
+    total = counts.agg(F.sum(count_col)).scalar()
+    return counts.withColumn(out, F.when(total > 0, F.col(count_col) / total))
 
 
 def dimension_counts(dim: DataFrame, counts: DataFrame, key: str = "name",
@@ -107,13 +105,11 @@ def city_counts(df: DataFrame, **kw) -> DataFrame:
 
 def minmax_scale(df: DataFrame, col: str, lo: float, hi: float, out: str = "Size") -> DataFrame:
     """Scale ``col`` to [lo, hi]; constant ``lo`` when the range is 0.
-    min/max are a one-row global aggregate joined back (no one-task window)."""
-    stats = df.agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
-    rng = F.col("_mx") - F.col("_mn")
-    return (df.crossJoin(F.broadcast(stats))
-            .withColumn(out, F.when(rng > 0, F.lit(lo) + F.lit(hi - lo) * (F.col(col) - F.col("_mn")) / rng)
-                        .otherwise(F.lit(float(lo))))
-            .drop("_mn", "_mx"))
+    min/max are scalar subqueries (global aggregates, no one-task window)."""
+    mn, mx = df.agg(F.min(col)).scalar(), df.agg(F.max(col)).scalar()
+    rng = mx - mn
+    return df.withColumn(out, F.when(rng > 0, F.lit(lo) + F.lit(hi - lo) * (F.col(col) - mn) / rng)
+                         .otherwise(F.lit(float(lo))))
 
 
 def city_bubbles(df: DataFrame, lo: float = 10.0, hi: float = 40.0, **kw) -> DataFrame:

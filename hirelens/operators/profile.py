@@ -40,5 +40,5 @@ def run_report(batch: DataFrame, key: str, after_dedup: DataFrame | None = None)
     cols = [F.count(F.lit(1)).alias("rows"), F.count_distinct(F.col(key)).alias("distinct_keys")]
     rep = batch.agg(*cols).withColumn("is_empty", F.col("rows") == 0)
     if after_dedup is not None:
-        rep = rep.crossJoin(after_dedup.agg(F.count(F.lit(1)).alias("rows_after_dedup")))
+        rep = rep.withColumn("rows_after_dedup", after_dedup.agg(F.count(F.lit(1))).scalar())
     return rep
