@@ -306,9 +306,10 @@ SELECT doc_id, given, tag, CASE WHEN tag IN ('pl', 'en') THEN tag ELSE 'en' END
 @register("language_tag", _lang_sql())
 def q_language_tag(spark, sf):
     docs = read_table(spark, sf, "documents")
-    return docs.select("doc_id", F.col("lang").alias("given"),
-                       classify.language_tag("text", reduce_to=None).alias("tag"),
-                       classify.language_tag("text").alias("source_tag"))
+    tagged = docs.select("doc_id", F.col("lang").alias("given"),
+                         classify.language_tag("text", reduce_to=None).alias("tag"))
+    # the source's pl/en reduction of the same tag (one detection pass)
+    return tagged.withColumn("source_tag", F.when(F.col("tag").isin("pl", "en"), F.col("tag")).otherwise(F.lit("en")))
 
 
 # ------------------------------------------------------------------ C17-C20
