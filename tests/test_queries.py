@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF001
+from hirelens.plans.catalog import ORACLE, QUERIES
 from hirelens.sources.tables import TABLES
 
 ROWS_ONLY = {"page_fields", "curated_batch", "curated_append", "dual_sink", "export_csv", "review_append",
@@ -47,12 +48,13 @@ def test_entry(spark):
 
 
 def test_registry_complete():
-    q, o = E.queries(), E.oracle_sql()
-    assert set(o) <= set(q)
+    assert set(E.oracle_sql()) <= set(E.queries())
+    q, o = QUERIES, ORACLE
+    assert set(o) <= set(q) <= set(E.queries())
     assert set(q) - set(o) == ROWS_ONLY
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF001)
     srows = [tuple(r) for r in df.collect()]
