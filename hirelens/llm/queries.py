@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import ann_blocks, bpe, exact_dedup, mixing
 from .common import read_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,25 @@ def op6(spark, sf_dir):
     docs = read_columns(spark, sf_dir, "documents", ["doc_id", "text", "source"])
     return mixing.plan(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target",
                                     (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op5_bpe_roundtrip")
+def op5(spark, sf_dir):
+    docs = read_columns(spark, sf_dir, "documents", ["doc_id", "text"])
+    return bpe.encode(docs).select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                                   F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op10_nearest_vectors", """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
+def op10(spark, sf_dir):
+    vectors = read_columns(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return ann_blocks.nearest(vectors, F.col("vec_id") % 20 == 0)
