@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_blocks, bpe, exact_dedup, mixing
+from . import ann_blocks, bpe, exact_dedup, mixing, substring_dedup
 from .common import read_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
 def op10(spark, sf_dir):
     vectors = read_columns(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
     return ann_blocks.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
+@query("op7_substring_dedup")
+def op7(spark, sf_dir):
+    docs = read_columns(spark, sf_dir, "documents", ["doc_id", "text"])
+    return substring_dedup.remove_repeats(docs).select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
