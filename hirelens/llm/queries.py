@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_blocks, bpe, exact_dedup, mixing, substring_dedup
+from . import ann_blocks, bpe, exact_dedup, jaccard_join, mixing, substring_dedup
 from .common import read_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,9 @@ def op7(spark, sf_dir):
     docs = read_columns(spark, sf_dir, "documents", ["doc_id", "text"])
     return substring_dedup.remove_repeats(docs).select(
         F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op3_jaccard_join")
+def op3(spark, sf_dir):
+    docs = read_columns(spark, sf_dir, "documents", ["doc_id", "text"])
+    return jaccard_join.assign(docs).select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
