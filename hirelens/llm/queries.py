@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_blocks, bpe, exact_dedup, jaccard_join, mixing, substring_dedup
-from .common import read_columns
+from . import ann_blocks, bpe, exact_dedup, jaccard_join, langid, mixing, substring_dedup, toxicity
+from .common import crc_mod, read_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -94,3 +94,22 @@ def op7(spark, sf_dir):
 def op3(spark, sf_dir):
     docs = read_columns(spark, sf_dir, "documents", ["doc_id", "text"])
     return jaccard_join.assign(docs).select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+@query("op1_language_id")
+def op1(spark, sf_dir):
+    docs = read_columns(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    held = crc_mod(F.col("doc_id"), 4) == 2
+    model = langid.train(docs.filter(~held))
+    found = langid.predict(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (crc_mod(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_toxicity")
+def op8(spark, sf_dir):
+    docs = read_columns(spark, sf_dir, "documents", ["doc_id", "text"])
+    labels = read_columns(spark, sf_dir, "labels", ["doc_id", "toxic"])
+    model = toxicity.train(docs, labels.filter(crc_mod(F.col("doc_id"), 5) != 0))
+    return toxicity.score(docs, model).select(
+        F.col("id").alias("doc_id"), (crc_mod(F.col("id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
