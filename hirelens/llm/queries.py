@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_blocks, bpe, exact_dedup, jaccard_join, langid, mixing, substring_dedup, toxicity
+from . import ann_blocks, bpe, exact_dedup, jaccard_join, langid, mixing, substring_dedup, toxicity, warc
 from .common import crc_mod, read_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,18 @@ def op8(spark, sf_dir):
     return toxicity.score(docs, model).select(
         F.col("id").alias("doc_id"), (crc_mod(F.col("id"), 5) == 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op4_warc_transactions", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM m""")
+def op4(spark, sf_dir):
+    pages = read_columns(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    return warc.round_trip(pages).select("page_id", F.col("response.payload_bytes").alias("payload_bytes"),
+                                         F.col("response.payload_digest").alias("payload_digest"), "record_type",
+                                         F.col("refers_to.page_id").alias("refers_to"))
