@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_blocks, bpe, exact_dedup, jaccard_join, langid, mixing, substring_dedup, toxicity, warc
+from . import ann_blocks, bpe, exact_dedup, jaccard_join, langid, mixing, pii_crf, substring_dedup, toxicity, warc
 from .common import crc_mod, read_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,17 @@ def op4(spark, sf_dir):
     return warc.round_trip(pages).select("page_id", F.col("response.payload_bytes").alias("payload_bytes"),
                                          F.col("response.payload_digest").alias("payload_digest"), "record_type",
                                          F.col("refers_to.page_id").alias("refers_to"))
+
+
+@query("op2_pii_spans")
+def op2(spark, sf_dir):
+    docs = read_columns(spark, sf_dir, "documents", ["doc_id", "text"])
+    found = pii_crf.find(docs, pii_crf.train(docs))
+    base = F.filter("spans", lambda s: s.base)
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    kinds = F.transform(base, lambda s: s.kind)
+    counts = [F.size(F.filter(kinds, lambda x: x == F.lit(k))).cast("long").alias(f"n_{k}") for k in pii_crf.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
