@@ -37,10 +37,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, text_batches
-from .words import Rolling, WordIds, mixed, sliding
+from .words import Rolling, WordHashes, mixed, sliding
 
 #: Bytes of text that are settled together before a shuffle.
-PIECE = 8_000_000
+PIECE = 5_000_000
 
 
 def _words(batch: pa.RecordBatch) -> list[list[bytes]]:
@@ -57,10 +57,10 @@ class _Scan:
 
     def __init__(self, window: int, gram: int):
         self.window, self.gram, self.span = window, gram, window - gram + 1
-        self.ids, self.rolling = WordIds(), Rolling()
+        self.hashed, self.rolling = WordHashes(), Rolling()
 
-    def __call__(self, texts: list[list[bytes]]) -> bool:
-        row, counts = self.ids.of(texts)
+    def __call__(self, texts: pa.Array) -> bool:
+        row, counts = self.hashed(texts)
         if len(row) < self.window:
             return False
         self.grams, self.hashes = self.rolling.windows(row, self.gram, self.window)
@@ -85,7 +85,7 @@ def anchor_rows(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _Scan(window, gram)
         for batch in text_batches(batches, "text", PIECE):
-            if not scan(_words(batch)):
+            if not scan(batch.column("text")):
                 continue
             at = scan.anchors()
             key = scan.grams[at].view(np.int64)
@@ -125,7 +125,7 @@ def window_rows(window: int, gram: int, hot_rows: int = 16):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _Scan(window, gram)
         for batch in text_batches(batches, "text", PIECE):
-            if not scan(_words(batch)):
+            if not scan(batch.column("text")):
                 continue
             n = len(scan.hashes)
             listed = np.zeros(len(scan.grams), dtype=bool)

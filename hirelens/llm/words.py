@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Base of the rolling hash (odd, so it has an inverse modulo 2^64).
@@ -52,11 +53,13 @@ class Rolling:
         out[0] = 1
         return np.multiply.accumulate(out)
 
+    def reach(self, n: int) -> None:
+        if n >= len(self.up):
+            self.up, self.down = self._powers(BASE, n + n // 4 + 1), self._powers(_INVERSE, n + n // 4 + 1)
+
     def windows(self, row: np.ndarray, *lengths: int) -> list[np.ndarray]:
         """For each length, the hash of the window that starts at each place."""
-        if len(row) >= len(self.up):
-            n = 2 * len(row) + 1
-            self.up, self.down = self._powers(BASE, n), self._powers(_INVERSE, n)
+        self.reach(len(row))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(row * self.up[: len(row)], dtype=np.uint64)])
         return [mixed((sums[k:] - sums[:-k]) * self.down[: len(sums) - k]) if len(row) >= k else np.zeros(0, np.uint64)
                 for k in lengths]
@@ -69,3 +72,47 @@ def sliding(op: np.ufunc, row: np.ndarray, width: int) -> np.ndarray:
         step = min(have, width - have)
         out, have = op(out[:-step], out[step:]), have + step
     return out
+
+
+#: Bytes hashed at once: small enough for the processor's caches.
+_CHUNK = 1 << 20
+_SOLID = np.array([b not in b" \t\n\r\x0b\x0c" for b in range(256)])
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+
+
+class WordHashes:
+    """64-bit hashes of the words (runs without ASCII white space) of string columns."""
+
+    def __init__(self, lower: bool = False):
+        self.lower, self.rolling = lower, Rolling()
+
+    def _chunk(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words in ``raw``, texts being [begin, end), and words per text."""
+        solid = _SOLID[raw]
+        before, after = np.append(False, solid[:-1]), np.append(solid[1:], False)
+        full = end > begin
+        before[begin[full]] = False
+        after[end[full] - 1] = False
+        first, last = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
+        if self.lower:
+            raw = _LOWER[raw]
+        self.rolling.reach(len(raw))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.rolling.up[: len(raw)], dtype=np.uint64)])
+        counts = np.searchsorted(first, end) - np.searchsorted(first, begin)
+        return mixed((sums[last] - sums[first]) * self.rolling.down[first]), counts
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words in one row, and the number of words of each text."""
+        column = column.cast(pa.large_string()).fill_null("").cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+        data = column.buffers()[2]
+        raw = np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, np.uint8)
+        rows, counts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        while at < len(column):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _CHUNK, "right")) - 1)
+            base = offsets[at]
+            row, count = self._chunk(raw[base : offsets[to]], offsets[at:to] - base, offsets[at + 1 : to + 1] - base)
+            rows.append(row)
+            counts.append(count)
+            at = to
+        return np.concatenate(rows), np.concatenate(counts)
