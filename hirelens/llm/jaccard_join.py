@@ -15,11 +15,16 @@ gives the same links.
 
 Near copies would give all pairs of a list. Instead
 1. equal sets are one class (sid, hash of the set); batches send a class once;
-2. in each list, sorted by size, neighbours are candidates; of these each class
-   first checks the one it shares most lists with, against the real sets;
-3. the checked links give components; whatever list still holds classes of different
-   components contributes just the pairs between these, and all of them are checked.
-So no link that could join two components is left unchecked, and a group of
+2. in each list the member found in most lists for its size is the pivot; each class
+   is checked against the pivot it shares most lists with, then (in lists that still
+   hold several components) against its best neighbour by size. Pairs that a parity
+   bit map of the sets rules out are skipped (set bits of the exclusive or are
+   shingles not shared); the real sets decide, and links are merged to components;
+3. whatever list still holds classes of different components contributes the pairs
+   between these, and every one of them is settled by the bit maps or the sets. Lists
+   of one pivot hold much the same classes, so they are settled together, in groups
+   of bounded size, and a pair that many lists hold is looked at once.
+So no link that could join two components is left unsettled, and a group of
 thousands of near copies costs pairs in proportion to its members.
 
 Texts travel to the check as (left, right) pairs dealt by the left class, whose hot
@@ -44,24 +49,22 @@ from pyspark.sql import functions as F
 
 from .common import column, save, text_batches
 from .components import components
-from .words import Rolling, WordIds, mixed
+from .words import Rolling, WordHashes, mixed
 
-PIECE = 8_000_000
+PIECE = 5_000_000
 BUCKETS = 20
 #: Sizes above this are heavy at any cost.
 LIGHT_MAX = 256
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 class Sets:
     """Sorted shingle hashes of texts."""
 
     def __init__(self, words: int = 5):
-        self.k, self.ids, self.rolling = words, WordIds(), Rolling()
+        self.k, self.hashed, self.rolling = words, WordHashes(lower=True), Rolling()
 
-    def of(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").encode("utf-8", "surrogatepass").translate(_LOWER).split() for t in texts]
-        row, counts = self.ids.of(split)
+    def of(self, texts: pa.Array) -> list[np.ndarray]:
+        row, counts = self.hashed(texts)
         grams = self.rolling.windows(row, self.k)[0]
         out, at = [], 0
         for n in counts.tolist():
@@ -98,6 +101,38 @@ def subsets(n: int) -> int:
     return p * (p - 1) // 2
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Bit map of the set, at least four bits an element: each bit is the parity
+    of the elements that fall on it. Half of it, folded, is that of half the length."""
+    size = 1 << max(6, (4 * len(s) - 1).bit_length())
+    bits = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _may_link(bits: list[bytes], size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) of sets the bit maps do not rule out."""
+    width = np.array([len(b) for b in bits])
+    tables, place = {}, np.zeros(len(bits), dtype=np.int64)
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero(width == w)
+        place[own] = np.arange(len(own))
+        tables[w] = np.frombuffer(b"".join([bits[k] for k in own.tolist()]), dtype=np.uint8).reshape(len(own), w)
+    out = np.zeros(len(i), dtype=bool)
+    for w in tables:
+        for v in tables:
+            some = np.flatnonzero((width[i] == w) & (width[j] == v))
+            for part in (some[k : k + 4096] for k in range(0, len(some), 4096)):
+                x, y = tables[w][place[i[part]]], tables[v][place[j[part]]]
+                while x.shape[1] > y.shape[1]:
+                    x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+                while y.shape[1] > x.shape[1]:
+                    y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+                total = size[i[part]] + size[j[part]]
+                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                out[part] = 7 * ((total - apart) // 2) >= 3 * total
+    return out
+
+
 def boundary(sizes: dict[int, int], scan_cost: float) -> int:
     """Largest light size at the least cost. ``sizes``: sets by size up to LIGHT_MAX."""
     def cost(x: int) -> float:
@@ -115,7 +150,7 @@ def _heat(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(words)
         for batch in text_batches(batches, "text", PIECE):
-            own = {sid(s): s for s in sets.of(batch.column("text").to_pylist()) if len(s)}
+            own = {sid(s): s for s in sets.of(batch.column("text")) if len(s)}
             if not own:
                 continue
             shingle, times = np.unique(np.concatenate([*own.values()]), return_counts=True)
@@ -130,22 +165,25 @@ def _heat(words: int):
 
 
 def _signatures(words: int, heat: bytes, light: int):
-    """(id, row, text) -> (id, row, n, sid, subsets, tokens, n_index)."""
+    """(id, row, text) -> (id, row, n, sid, lead, bits, subsets, tokens, n_index);
+    only the first of equal sets in a batch leads, with bits and list keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, hot = Sets(words), np.frombuffer(heat, dtype=np.uint8)
         none = np.zeros(0, np.uint64)
         for batch in text_batches(batches, "text", PIECE):
             seen: set[int] = set()
-            n, own, pairs, tokens, index = [], [], [], [], []
-            for s in sets.of(batch.column("text").to_pylist()):
+            n, own, bits, pairs, tokens, index = [], [], [], [], [], []
+            for s in sets.of(batch.column("text")):
                 n.append(len(s))
                 own.append(sid(s))
                 two = one = none
                 index.append(0)
+                bits.append(None)
                 if len(s) > 1 and own[-1] not in seen:
                     seen.add(own[-1])
                     size = len(s)
+                    bits[-1] = parity(s)
                     first = s[np.argsort(hot[s >> np.uint64(64 - BUCKETS)], kind="stable")[: size - probe_overlap(size) + 2]]
                     if size <= light:
                         a, b = np.triu_indices(len(first), 1)
@@ -164,7 +202,8 @@ def _signatures(words: int, heat: bytes, light: int):
 
             yield pa.record_batch([
                 batch.column("id"), batch.column("row"), pa.array(n, pa.int32()), pa.array([o if k else None for o, k in zip(own, n)], pa.int64()),
-                lists(pairs), lists(tokens), pa.array(index, pa.int32())], ["id", "row", "n", "sid", "subsets", "tokens", "n_index"])
+                pa.array([b is not None for b in bits]), pa.array(bits, pa.binary()), lists(pairs), lists(tokens), pa.array(index, pa.int32())],
+                ["id", "row", "n", "sid", "lead", "bits", "subsets", "tokens", "n_index"])
 
     return run
 
@@ -189,45 +228,91 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[
         yield {c: np.concatenate([h[c] for h in held]) for c in names}
 
 
-def _may_link(info_a: np.ndarray, info_b: np.ndarray) -> np.ndarray:
-    """Whether a list makes candidates of two members, the first no larger.
-    info: size * 4 + role (0 subset, 1 scans, 2 indexed, 3 both)."""
-    a, b = info_a & 3, info_b & 3
-    return (4 * (info_a >> 2) >= 3 * (info_b >> 2)) & ((a | b) == 0) | (4 * (info_a >> 2) >= 3 * (info_b >> 2)) & (a >= 2) & ((b & 1) == 1)
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings sorted by (key, info, sid) -> those of lists of two classes or more."""
+    for run in _runs(batches, ["key", "sid", "info"]):
+        key, own = run["key"], run["sid"]
+        fresh = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))
+        cols = {c: v[fresh] for c, v in run.items()}
+        begin = np.flatnonzero(np.append(True, cols["key"][1:] != cols["key"][:-1]))
+        size = np.diff(np.append(begin, len(cols["key"])))
+        long = np.repeat(size > 1, size)
+        if long.any():
+            yield pa.record_batch([pa.array(cols[c][long]) for c in ("key", "sid", "info")], ["key", "sid", "info"])
+
+
+def _not_ruled_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, shared, n_a, n_b, bits_a, bits_b) -> (a, b, shared) the bit maps leave."""
+    for batch in batches:
+        m = batch.num_rows
+        if m:
+            bits = batch.column("bits_a").to_pylist() + batch.column("bits_b").to_pylist()
+            size = np.concatenate([batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()]).astype(np.int64)
+            keep = _may_link(bits, size, np.arange(m), np.arange(m, 2 * m))
+            yield batch.select(["a", "b", "shared"]).filter(pa.array(keep))
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by (key, info, sid) -> candidates (0, a, b, 0) of
-    neighbours and, of lists of three or more, the members (1, key, sid, info)."""
-    for run in _runs(batches, ["key", "sid", "info"]):
-        key, own, info = run["key"], run["sid"], run["info"]
-        fresh = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))
-        key, own, info = key[fresh], own[fresh], info[fresh]
+    """Members sorted by (key, info, sid) with their component -> pairs (a, b) next
+    to each other, of different components, whose sizes allow a link."""
+    for part in _runs(batches, ["key", "sid", "info", "component"]):
+        key, own, n, comp = part["key"], part["sid"], part["info"] >> 2, part["component"]
+        i = np.flatnonzero((key[1:] == key[:-1]) & (comp[1:] != comp[:-1]) & (4 * n[:-1] >= 3 * n[1:]))
+        yield pa.record_batch([pa.array(own[i]), pa.array(own[i + 1])], ["a", "b"])
+
+
+def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (pivot, salt, list): the bit maps of a group's classes (list
+    null), then its lists' members -> pairs (a, b) of different components that the
+    lists make candidates and the bit maps do not rule out."""
+
+    def settle(rows: dict[str, list]) -> pa.RecordBatch | None:
+        own = np.concatenate(rows["sid"])
+        bits = [b for part in rows["bits"] for b in part]
+        known = len(bits)
+        order = np.argsort(own[:known], kind="stable")
+        at = order[np.searchsorted(own[:known], own[known:], sorter=order)]
+        key, info, comp = (np.concatenate(rows[c])[known:] for c in ("list", "info", "component"))
+        n, role = info >> 2, info & 3
+        size = np.zeros(known, dtype=np.int64)
+        size[at] = n
         begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(begin, len(key)))
-        near = np.flatnonzero((key[1:] == key[:-1]) & _may_link(info[:-1], info[1:])) if len(key) > 1 else np.zeros(0, int)
-        long = np.repeat(size > 2, size)
-        for kind, cols in ((0, (own[near], own[near + 1], np.zeros(len(near), np.int64))) if len(near) else (0, None),
-                           (1, (key[long], own[long], info[long])) if long.any() else (1, None)):
-            if cols:
-                yield pa.record_batch([pa.array(np.full(len(cols[0]), kind, np.int32)), *map(pa.array, cols)], ["kind", "x", "y", "info"])
-
-
-def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members sorted by (key, info, sid) with their component -> candidates
-    between different components, neighbours left out."""
-    for run in _runs(batches, ["key", "sid", "info", "component"]):
-        begin = np.flatnonzero(np.append(True, run["key"][1:] != run["key"][:-1]))
-        differs = run["component"] != np.repeat(run["component"][begin], np.diff(np.append(begin, len(run["key"]))))
-        some = np.add.reduceat(differs.astype(np.int64), begin) > 0
-        for a, b in zip(begin[some].tolist(), np.append(begin[1:], len(run["key"]))[some].tolist()):
-            info, own, comp = run["info"][a:b], run["sid"][a:b], run["component"][a:b]
-            most = np.searchsorted(info >> 2, (info >> 2) * 4 // 3, "right")
-            for i in range(b - a - 2):
-                j = np.arange(i + 2, most[i])
-                j = j[(comp[j] != comp[i]) & _may_link(np.broadcast_to(info[i], len(j)), info[j])]
+        end = np.append(begin[1:], len(key))
+        codes = []
+        for a, b in zip(begin.tolist(), end.tolist()):
+            most = a + np.searchsorted(n[a:b], n[a:b] * 4 // 3, "right")
+            for i in range(a, b - 1):
+                # Either both are subsets, or the smaller is indexed and the larger scans.
+                ok = (comp[i + 1 : most[i - a]] != comp[i]) & ((role[i + 1 : most[i - a]] & 1 == 1) if role[i] >= 2 else (role[i + 1 : most[i - a]] == 0) & (role[i] == 0))
+                j = np.flatnonzero(ok) + i + 1
                 if len(j):
-                    yield pa.record_batch([pa.array(np.full(len(j), own[i])), pa.array(own[j])], ["a", "b"])
+                    codes.append(at[i] * known + at[j])
+        if not codes:
+            return None
+        code = np.unique(np.concatenate(codes))
+        i, j = code // known, code % known
+        keep = _may_link(bits, size, i, j)
+        return pa.record_batch([pa.array(own[i[keep]]), pa.array(own[j[keep]])], ["a", "b"]) if keep.any() else None
+
+    names = ("sid", "list", "info", "component", "bits")
+    rows: dict[str, list] = {c: [] for c in names}
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        pivot, salt = (batch.column(c).to_numpy() for c in ("pivot", "salt"))
+        begin = np.flatnonzero(np.append(True, (pivot[1:] != pivot[:-1]) | (salt[1:] != salt[:-1])))
+        for a, b in zip(begin.tolist(), np.append(begin[1:], batch.num_rows).tolist()):
+            if now != (pivot[a], salt[a]):
+                if rows["sid"] and (found := settle(rows)):
+                    yield found
+                rows, now = {c: [] for c in names}, (pivot[a], salt[a])
+            part = batch.slice(a, b - a)
+            for c in names[:-1]:
+                rows[c].append(part.column(c).fill_null(0).to_numpy())
+            rows["bits"].append([x for x in part.column("bits").to_pylist() if x is not None])
+    if rows["sid"] and (found := settle(rows)):
+        yield found
 
 
 def _linked(words: int):
@@ -238,7 +323,7 @@ def _linked(words: int):
         for batch in text_batches(batches, "text", PIECE):
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             found = []
-            for x, y, s in zip(a, b, sets.of(batch.column("text").to_pylist())):
+            for x, y, s in zip(a, b, sets.of(batch.column("text"))):
                 if y is None:
                     head, left = x, s
                 elif head == x:
@@ -253,15 +338,19 @@ def _linked(words: int):
     return run
 
 
-def _check(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b: classes) whose sets link; ``texts`` has sid and text."""
+def _check(pairs: DataFrame, stands: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b: classes) whose sets link. ``stands`` (sid, row) names a row
+    of ``texts`` (row, text) for each class; only texts of these pairs are kept."""
+    pairs = save(pairs, "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    own = save(texts.join(stands.select("sid", "row").join(needed, "sid"), "row").select("sid", "text"), "texts")
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("salts"))
-    heads = (salts.join(texts, F.col("a") == F.col("sid"))
+    heads = (salts.join(own, F.col("a") == F.col("sid"))
              .select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text"))
-    members = (pairs.join(salts, "a").join(texts, F.col("b") == F.col("sid"))
+    members = (pairs.join(salts, "a").join(own, F.col("b") == F.col("sid"))
                .select("a", F.pmod(F.hash("b"), F.col("salts")).alias("salt"), "b", "text"))
-    return (heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
-            .select("a", "b", "text").mapInArrow(_linked(words), "a long, b long"))
+    return save(heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
+                .select("a", "b", "text").mapInArrow(_linked(words), "a long, b long"), "links")
 
 
 def _labelled(members: DataFrame, key: str, found: DataFrame, name: str) -> DataFrame:
@@ -270,6 +359,14 @@ def _labelled(members: DataFrame, key: str, found: DataFrame, name: str) -> Data
     return members.join(renamed, key, "left").withColumn(name, F.coalesce(name, key))
 
 
+def _best(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Of each ``b`` the pair with most shared lists that its bit maps allow."""
+    side = lambda c: bits.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    left = (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shared", "n_a", "n_b", "bits_a", "bits_b")
+            .mapInArrow(_not_ruled_out, "a long, b long, shared long"))
+    return left.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
             scan_cost: float = 4.0) -> tuple[DataFrame, DataFrame]:
     """(documents, links): documents has one row per row of ``df`` with id, n
@@ -287,30 +384,51 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
 
     signed = save(base.select("id", "row", "text").mapInArrow(
         _signatures(words, heat.tobytes(), light),
-        f"id {kind}, row long, n int, sid long, subsets array<long>, tokens array<long>, n_index int"), "signatures")
+        f"id {kind}, row long, n int, sid long, lead boolean, bits binary, subsets array<long>, tokens array<long>, n_index int"), "signatures")
     size = F.col("n").cast("long") * 4
     role = F.when(F.col("n") <= light, 2).otherwise(F.when(F.col("at") < F.col("n_index"), 3).otherwise(1))
     postings = (signed.select("sid", size.alias("info"), F.explode("subsets").alias("key"))
                 .unionByName(signed.select("sid", "n", "n_index", F.posexplode("tokens").alias("at", "key"))
                              .select("sid", (size + role).alias("info"), "key")))
-    lists = save(postings.select("key", "sid", "info").repartition("key").sortWithinPartitions("key", "info", "sid")
-                 .mapInArrow(_neighbours, "kind int, x long, y long, info long"), "lists")
-    near = save(lists.filter("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("n")), "near")
-    members = lists.filter("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("sid"), "info")
-
-    # One text of each class that is in some list with another.
-    needed = near.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(members.select("sid")).distinct()
-    stands = (signed.filter("sid is not null").groupBy("sid").agg(F.min("row").alias("row")).join(needed, "sid", "left_semi"))
-    texts = save(base.select("row", "text").join(stands, "row").select("sid", "text"), "texts")
-
-    best = near.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-    first = save(_check(best.select("a", "b"), texts, words), "links")
-    found = save(components(first), "components")
-    rest = _labelled(_labelled(near.select("a", "b"), "a", found, "ca"), "b", found, "cb").filter("ca <> cb").select("a", "b")
-    between = (_labelled(members, "sid", found, "component").select("key", "sid", "info", "component")
-               .repartition("key").sortWithinPartitions("key", "info", "sid").mapInArrow(_between, "a long, b long"))
-    more = save(_check(save(rest.unionByName(between).distinct().join(best, ["a", "b"], "left_anti"), "pairs"), texts, words), "links")
-    links = first.unionByName(more)
+    members = save(postings.select("key", "sid", "info").repartition("key").sortWithinPartitions("key", "info", "sid")
+                   .mapInArrow(_members, "key long, sid long, info long"), "lists")
+
+    # One row stands for each class that is in some list with another.
+    stands = (signed.filter("lead").groupBy("sid").agg(F.min("row").alias("row"))
+              .join(members.select("sid").distinct(), "sid", "left_semi"))
+    bits = save(signed.filter("lead").select("row", "n", "bits").join(stands, "row").select("sid", "row", "n", "bits"), "bits")
+    texts = base.select("row", "text")
+
+    degree = members.groupBy("sid").agg((F.count("*") / F.first("info")).alias("degree"))
+    ranked = members.join(degree, "sid")
+    pivots = ranked.groupBy("key").agg(F.max_by(F.struct("sid", "info"), F.struct("degree", "sid")).alias("p")).withColumn("part", F.col("key") % 64)
+    n, m = F.shiftright("info", 2), F.shiftright("p.info", 2)
+    star = (members.withColumn("part", F.col("key") % 64).join(pivots, ["key", "part"])
+            .filter((F.col("sid") != F.col("p.sid")) & (4 * F.least(n, m) >= 3 * F.greatest(n, m)))
+            .groupBy(F.col("p.sid").alias("a"), F.col("sid").alias("b")).agg(F.count("*").alias("shared")))
+    links = _check(_best(star, bits), bits, texts, words)
+    found = save(components(links), "components")
+
+    listed = _labelled(members, "sid", found, "component").select("key", "sid", "info", "component")
+    beside = (listed.repartition("key").sortWithinPartitions("key", "info", "sid").mapInArrow(_neighbours, "a long, b long")
+              .groupBy("a", "b").agg(F.count("*").alias("shared")))
+    links = links.unionByName(_check(_best(beside, bits), bits, texts, words))
+    found = save(components(links), "components")
+
+    listed = _labelled(members, "sid", found, "component")
+    several = (listed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+               .join(pivots, "key").select("key", "part", F.col("p.sid").alias("pivot")))
+    held = save(listed.withColumn("part", F.col("key") % 64).join(several, ["key", "part"])
+                .select("pivot", F.col("key").alias("list"), "sid", "info", "component"), "open")
+    salts = held.groupBy("pivot").agg(F.ceil(F.count("*") / 10_000).cast("int").alias("salts"))
+    dealt = held.join(salts, "pivot").withColumn("salt", F.pmod(F.hash("list"), F.col("salts")))
+    maps = (dealt.select("pivot", "salt", "sid").distinct().join(bits.select("sid", "bits"), "sid")
+            .select("pivot", "salt", F.lit(None).cast("long").alias("list"), "sid", F.lit(None).cast("long").alias("info"),
+                    F.lit(None).cast("long").alias("component"), "bits"))
+    rows = dealt.select("pivot", "salt", "list", "sid", "info", "component", F.lit(None).cast("binary").alias("bits"))
+    left = (maps.unionByName(rows).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "list", "info", "sid")
+            .mapInArrow(_open_pairs, "a long, b long").distinct())
+    links = links.unionByName(_check(left, bits, texts, words))
     found = save(components(links), "components")
     return _labelled(signed.select("id", "row", "n", "sid"), "sid", found, "component"), links
 
@@ -323,3 +441,16 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     alone = docs.filter("component is null").select("id", "row", "n", "sid", F.col("id").alias("component_id"))
     return (linked.withColumn("part", F.col("component") % 64).join(least, ["component", "part"])
             .select("id", "row", "n", "sid", "component_id").unionByName(alone))
+
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, scan_cost: float = 4.0) -> DataFrame:
+    """The rows of ``df`` that stay, with all their columns: those without a link
+    and, of each component, the row with its smallest id (of repeated ids, the
+    first place)."""
+    docs, _ = classes(df, id_col, text_col, words, scan_cost)
+    # A null id comes last; the place decides between equal ids.
+    order = F.struct(F.col("id").isNull().alias("x"), "id", "row")
+    stay = (docs.filter("component is not null").groupBy("component").agg(F.min(order).alias("least")).select("least.row")
+            .unionByName(docs.filter("component is null").select("row")))
+    return (df.withColumn("__row", F.monotonically_increasing_id())
+            .join(stay.select(F.col("row").alias("__row")), "__row", "left_semi").drop("__row"))

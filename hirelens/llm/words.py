@@ -2,36 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 #: Base of the rolling hash (odd, so it has an inverse modulo 2^64).
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
 
 
-class WordIds(dict):
-    """64-bit hash of a word (bytes); grows to ``held`` entries, then starts anew."""
-
-    def __init__(self, held: int = 400_000):
-        super().__init__()
-        self.held = held
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """The words' hashes in one row, and the number of words of each text."""
-        if len(self) > self.held:
-            self.clear()
-        counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), dtype=np.uint64, count=int(counts.sum())), counts
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
