@@ -1,0 +1,74 @@
+"""Registered corpus queries: against their SQL where there is one, and the
+pipeline's stages against what they promise."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from hirelens.llm.common import read_table, save
+from hirelens.llm.queries import ORACLE, QUERIES
+from hirelens.sources.tables import TABLES
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def plain(v):
+    return round(v, 6) if isinstance(v, float) else v
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
+    df = QUERIES[name](spark, SMALL)
+    want = con.sql(ORACLE[name])
+    cols = sorted(df.columns)
+    assert cols == sorted(want.columns)
+    got = sorted(str(tuple(plain(r[c]) for c in cols)) for r in df.collect())
+    at = [want.columns.index(c) for c in cols]
+    assert got == sorted(str(tuple(plain(r[i]) for i in at)) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+def test_one_row_per_document(spark, name):
+    docs = {r.doc_id for r in read_table(spark, SMALL, "documents").select("doc_id").collect()}
+    got = [r.doc_id for r in QUERIES[name](spark, SMALL).select("doc_id").collect()]
+    assert len(got) == len(docs) and set(got) == docs
+
+
+def test_all_are_registered():
+    names = entry.queries()
+    assert set(QUERIES) <= set(names) and names["pipeline"] is corpus_pipeline.run
+    assert [any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [True] * 10
+
+
+def test_pipeline_stages(spark):
+    docs = read_table(spark, SMALL, "documents")
+    first = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = save(stage(spark, docs, SMALL), "stage")
+        if name != "BPE encoding":
+            assert out.columns == first.columns
+        else:
+            assert out.count() == docs.count()
+        if name == "language ID":
+            assert out.count() == docs.count()
+        if name == "exact dedup":
+            texts = [r.text for r in docs.collect()]
+            assert out.count() == len({"".join(t.split(" ")).replace("\n", "").replace("\t", "") for t in texts})
+        docs = out
+
+
+def test_language_stage_drops_texts_without_letters(spark):
+    docs = save(spark.createDataFrame([(i, "the and of that with which", "en", "s", 1) for i in range(30)] + [(100, "12 34", "en", "s", 1), (101, None, "en", None, None)],
+                                      "doc_id long, text string, lang string, source string, n_chars long"), "docs")
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == list(range(30))
+
+
+def test_pipeline_of_no_documents(spark):
+    docs = save(spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"), "docs")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = save(stage(spark, docs, ""), "stage")
+    assert docs.count() == 0
