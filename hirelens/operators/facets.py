@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..mappings import WEEKDAYS
+from .quantiles import exact_quantiles
 
 
 def _c(col: str | Column) -> Column:
@@ -66,7 +67,7 @@ def dimension_counts(dim: DataFrame, counts: DataFrame, key: str = "name",
                      count_col: str = "n") -> DataFrame:
     """Every dimension member with its count, missing -> 0, ordered by
     count desc then key.  ``dim`` is a small bounded dimension."""
-    return (F.broadcast(dim.select(key).distinct()).join(counts, key, "left")
+    return (dim.select(key).distinct().join(counts, key, "left")
             .fillna({count_col: 0}).orderBy(F.desc(count_col), key))
 
 
@@ -128,8 +129,11 @@ def top_k_with_others(counts: DataFrame, key: str, count_col: str, k: int = 9,
     """A9 + U1: the k largest rows plus one ``Others`` row with the sum of
     the rest (always present, possibly 0).  Ranking is a global order; the
     input is already one row per key (an aggregate), and the rank is taken
-    with a k-row top list joined back, so no single-task window is needed."""
-    top = counts.orderBy(F.desc(count_col), F.asc(key)).limit(k).select(key, F.lit(1).alias("_top"))
+    with a k-row top list joined back, so no single-task window is needed.
+    A null key is no value and is left out; a key that is itself ``other``
+    always falls into the rest."""
+    counts = counts.filter(F.col(key).isNotNull())
+    top = counts.filter(F.col(key) != F.lit(other)).orderBy(F.desc(count_col), F.asc(key)).limit(k).select(key, F.lit(1).alias("_top"))
     tagged = counts.join(F.broadcast(top), key, "left")
     rest = (tagged.filter(F.col("_top").isNull())
             .agg(F.coalesce(F.sum(count_col), F.lit(0)).cast("bigint").alias(count_col))
@@ -148,7 +152,8 @@ def flag_totals(df: DataFrame, flags: Sequence[str], name: str = "flag",
 
 # ------------------------------------------------------------------- top-k
 def value_counts(df: DataFrame, col: str | Column, out: str = "value") -> DataFrame:
-    return df.groupBy(_c(col).alias(out)).agg(F.count(F.lit(1)).alias("n"))
+    """Rows per value; null is no value."""
+    return df.filter(_c(col).isNotNull()).groupBy(_c(col).alias(out)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_k(df: DataFrame, col: str | Column, k: int, out: str = "value") -> DataFrame:
@@ -193,27 +198,30 @@ def salary_box_stats(df: DataFrame, levels: Sequence[str], start: str = "start_s
     then median, quartiles, mean and sample sd of start, max and mid salary.
 
     The levels are unpivoted into one ``level`` key so one grouped
-    aggregate serves all of them.  ``percentile`` is exact and keeps a
-    value -> count map per group, so its memory follows the number of
-    distinct salaries in a level, not the number of rows.
+    aggregate serves all of them; quantiles come from ranks in
+    range-partitioned order, so no level is gathered in one buffer.
     """
     stacked = (df.select(F.col(start).alias("s"), F.col(high).alias("m"),
                          F.explode(F.array(*[F.when(F.col(l) == 1, F.lit(l)) for l in levels])).alias("level"))
                .filter(F.col("level").isNotNull() & (F.col("s") != 0)))
-    q = stacked.groupBy("level").agg(F.percentile("s", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    bounds = q.select("level", (F.col("_q")[1] + whisker * (F.col("_q")[1] - F.col("_q")[0])).alias("_ub"))
-    kept = (stacked.join(F.broadcast(bounds), "level")  # one row per level
+    q = exact_quantiles(stacked, "level", "s", (0.25, 0.75))
+    bounds = q.select("level", (F.col("q1") + whisker * (F.col("q1") - F.col("q0"))).alias("_ub"))
+    kept = (stacked.join(F.broadcast(bounds), "level")  # one row per listed level
             .filter(F.col("s") <= F.col("_ub"))
             .withColumn("mid", (F.col("s") + F.col("m")) / 2))
-    aggs = []
-    for name, c in (("start", "s"), ("max", "m"), ("mid", "mid")):
-        qs = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        aggs += [qs.alias(f"_{name}_q"), F.avg(c).alias(f"{name}_mean"), F.stddev_samp(c).alias(f"{name}_sd")]
-    out = kept.groupBy("level").agg(F.count(F.lit(1)).alias("n"), *aggs)
+    names = (("start", "s"), ("max", "m"), ("mid", "mid"))
+    aggs = [x for name, c in names for x in (F.avg(c).alias(f"{name}_mean"), F.stddev_samp(c).alias(f"{name}_sd"))]
+    # The three salaries as one column keyed (level, salary).
+    long = kept.select(F.explode(F.array(*[F.struct(F.concat("level", F.lit("/" + name)).alias("k"), F.col(c).cast("double").alias("v"))
+                                           for name, c in names])).alias("x")).select("x.k", "x.v")
+    quart = exact_quantiles(long, "k", "v", (0.25, 0.5, 0.75))
+    quart = quart.groupBy(F.substring_index("k", "/", 1).alias("level")).agg(*[
+        F.max(F.when(F.substring_index("k", "/", -1) == name, F.col(f"q{i}"))).alias(f"{name}_{part}")
+        for name, _ in names for i, part in enumerate(("q1", "median", "q3"))])
+    out = kept.groupBy("level").agg(F.count(F.lit(1)).alias("n"), *aggs).join(quart, "level", "left")
     cols = ["level", "n"]
-    for name in ("start", "max", "mid"):
-        cols += [F.col(f"_{name}_q")[0].alias(f"{name}_q1"), F.col(f"_{name}_q")[1].alias(f"{name}_median"),
-                 F.col(f"_{name}_q")[2].alias(f"{name}_q3"), f"{name}_mean", f"{name}_sd"]
+    for name, _ in names:
+        cols += [f"{name}_q1", f"{name}_median", f"{name}_q3", f"{name}_mean", f"{name}_sd"]
     return out.select(*cols)
 
 
@@ -229,6 +237,3 @@ def nearest_other_date(df: DataFrame, key_col: str, key: str) -> DataFrame:
     return (df.filter(F.col(key_col) != F.lit(key)).select(key_col)
             .orderBy(F.abs(F.datediff(d, F.lit(key).cast("date"))), F.desc(key_col)).limit(1))
 
-
-def window_rank(df: DataFrame, part: Sequence[str], order: Sequence[Column], out: str = "rn") -> DataFrame:
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*part).orderBy(*order)))

@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from ..mappings import (LANGUAGE_FILTER_COLUMN, LEVEL_FILTER_COLUMN,
                         WORK_TYPE_FILTER_COLUMN)
 
-ISIN_LIMIT = 1000  # above this a value list is joined, not inlined
-
-
 def _or(preds: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, preds) if preds else F.lit(False)
 
@@ -51,22 +48,19 @@ def any_flag_filter(df: DataFrame, flags: Sequence[str]) -> DataFrame:
 
 
 def member_of(df: DataFrame, col: str, values: Sequence | DataFrame) -> DataFrame:
-    """keep rows whose ``col`` is in ``values``: an ``IN`` list for short
-    literal lists, a left-semi join for a DataFrame or a long list."""
+    """keep rows whose ``col`` is in ``values``: an ``IN`` list for a
+    literal list (the caller holds it), a left-semi join for a DataFrame."""
     if isinstance(values, DataFrame):
         vals = values.select(F.col(values.columns[0]).alias(col)).distinct()
         return df.join(vals, col, "left_semi")
-    values = list(values)
-    if len(values) <= ISIN_LIMIT:
-        return df.filter(F.col(col).isin(values))
-    vals = df.sparkSession.createDataFrame([(v,) for v in values], [col])
-    return df.join(vals, col, "left_semi")
+    return df.filter(F.col(col).isin(list(values)))
 
 
 def top_k_members(df: DataFrame, col: str, k: int = 20) -> DataFrame:
     """default when nothing is chosen: rows of the k most frequent
-    values of ``col`` (ties by value), via a k-row left-semi join."""
-    top = (df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    values of ``col`` (ties by value; null is no value), via a k-row
+    left-semi join."""
+    top = (df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
            .orderBy(F.desc("_n"), F.asc(col)).limit(k).select(col))
     return df.join(F.broadcast(top), col, "left_semi")
 

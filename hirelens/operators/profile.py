@@ -1,7 +1,7 @@
 """Profiling (A13, A14, A21): describe, null profile, run report.
 
-Each is one pass over the data: a single aggregate over all columns,
-reshaped long with ``unpivot`` (no per-column jobs, no driver loops).
+One aggregate over all columns, reshaped long with ``unpivot`` (no per-column
+jobs, no driver loops); quartiles by ranks in range-partitioned order.
 """
 
 from __future__ import annotations
@@ -11,20 +11,24 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
 
-def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+
+def describe(df: DataFrame, cols: Sequence[str], dates: Sequence[str] = ()) -> DataFrame:
     """Count (non-null), mean, sample sd, min, exact quartiles (linear
-    interpolation), max per column, one row per column.  Columns are stacked
-    into (column, value) so one grouped aggregate covers them all."""
-    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
-                                                     F.col(c).cast("double").alias("v")) for c in cols])).alias("s")) \
-        .select("s.column", "s.v")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    interpolation), max per column, one row per column.  ``dates`` are
+    described by their day number since 1970-01-01.  Columns are stacked into
+    (column, value) so one grouped aggregate covers them all; the quartiles
+    need no buffer per column (``quantiles``)."""
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols]
+    cells += [F.struct(F.lit(c).alias("column"), F.unix_date(F.to_date(c)).cast("double").alias("v")) for c in dates]
+    stacked = df.select(F.explode(F.array(*cells)).alias("s")).select("s.column", "s.v")
     out = stacked.groupBy("column").agg(
         F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), q.alias("_q"), F.max("v").alias("max"))
-    return out.select("column", "count", "mean", "std", "min", F.col("_q")[0].alias("q25"),
-                      F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "max")
+        F.min("v").alias("min"), F.max("v").alias("max"))
+    q = exact_quantiles(stacked, "column", "v", (0.25, 0.5, 0.75)).drop("n")
+    return out.join(q, "column", "left").select("column", "count", "mean", "std", "min", F.col("q0").alias("q25"),
+                                                F.col("q1").alias("q50"), F.col("q2").alias("q75"), "max")
 
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

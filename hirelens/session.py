@@ -41,14 +41,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is.  Only when it is unset (local tests) a fresh scratch folder
-    is created and registered.
+    used as is.  Where it is unset, a session whose tasks all run in this
+    process (``local[...]``: tests, bench) gets a fresh scratch folder; any
+    other session is refused, as its executors could not read such a folder.
     """
     sc = spark.sparkContext
     current = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY, None)
     if current:
         sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="hirelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set(CHECKPOINT_KEY, path)
     sc.setCheckpointDir(path)

@@ -41,7 +41,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_shipdate")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
     supp = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    supp_geo = supp.join(F.broadcast(_geo(spark, sf_dir)), supp.s_nationkey == F.col("n_nationkey"))
+    supp_geo = supp.join(_geo(spark, sf_dir), supp.s_nationkey == F.col("n_nationkey"))
     lines = (li.join(part, li.l_partkey == part.p_partkey)
              .join(supp_geo, li.l_suppkey == supp_geo.s_suppkey))
 

@@ -57,14 +57,15 @@ GAZETTEER_SCHEMA = T.StructType([
     T.StructField("admin_name_english", T.StringType()),
     T.StructField("lat", T.DoubleType()),
     T.StructField("lng", T.DoubleType()),
+    T.StructField("gaz_order", T.LongType()),
 ])
 
 
 def read_gazetteer_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Gazetteer CSV with header and a declared schema.  A ``gaz_order``
-    column keeps file order, which the first-match rule (J4) needs."""
-    df = spark.read.schema(GAZETTEER_SCHEMA).option("header", True).csv(path)
-    return df.withColumn("gaz_order", F.monotonically_increasing_id())
+    """Gazetteer CSV with header and a declared schema.  Its ``gaz_order``
+    column holds the row order that the first-match rule (J4) needs, so the
+    order does not hang on how files are split."""
+    return spark.read.schema(GAZETTEER_SCHEMA).option("header", True).csv(path)
 
 
 def read_region_names(spark: SparkSession, path: str) -> DataFrame:
@@ -72,11 +73,3 @@ def read_region_names(spark: SparkSession, path: str) -> DataFrame:
     doc = spark.read.option("multiLine", True).json(path)
     return (doc.select(F.explode("features").alias("f"))
             .select(F.col("f.properties.name").alias("name")))
-
-
-def with_id_order(df: DataFrame, col: str = "gaz_order") -> DataFrame:
-    return df.withColumn(col, F.monotonically_increasing_id())
-
-
-def lit_date(value: dt.date | str) -> Column:
-    return F.lit(str(value)).cast("date")

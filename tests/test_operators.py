@@ -270,3 +270,86 @@ def test_shaping(spark):
     assert p.upload_id == "2024-10-01 00:00:00_site_a" and str(p.date_posted) == "2024-10-01"
     d = shaping.date_parts(spark.createDataFrame([("2024-01-01",)], "d string"), "d").collect()[0]
     assert d.weekday_name == "Monday" and d.month == "2024-01"
+
+
+# ------------------------------------------------------ faults found in review
+def test_suggestions_without_a_shared_trigram(spark):
+    from hirelens.operators import textmine
+    words = ["Warsaw", "Krakow", "Gdansk", "Poznan", "Lodz", "Lublin", "Radom", "Torun", "Gdynia", "Kielce", "Opole", "Wroclaw", "", None]
+    inputs = spark.createDataFrame([("zzz",), ("Wrsw",), ("Krkw",), ("",), (None,), ("Warsaw",)], "w string")
+    dic = spark.createDataFrame([(w,) for w in words], "d string")
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+    got = {}
+    for r in textmine.fuzzy_suggest(inputs, "w", dic, "d", 10).collect():
+        got.setdefault(r.input, {})[r["rank"]] = (r.suggestion, round(r.score, 9))
+    for w in ("zzz", "Wrsw", "Krkw", "", "Warsaw"):
+        score = lambda d: 1 - lev(w.lower(), d.lower()) / max(len(w), len(d)) if w or d else 1.0
+        want = sorted(((-score(d), d) for d in set(words) - {None}))[:10]
+        assert got[w] == {i + 1: (d, round(-s, 9)) for i, (s, d) in enumerate(want)}, w
+
+
+def test_nulls_take_no_place(spark):
+    rows = [("a", 5), (None, 9), ("b", 4), ("Others", 3), ("c", 1)]
+    counts = spark.createDataFrame(rows, "k string, n long")
+    out = {r.k: r.n for r in facets.top_k_with_others(counts, "k", "n", 2).collect()}
+    assert out == {"a": 5, "b": 4, "Others": 4}
+    df = spark.createDataFrame([("x",), ("x",), (None,), (None,), (None,), ("y",)], "v string")
+    assert [(r.value, r.n) for r in facets.top_k(df, "v", 2).collect()] == [("x", 2), ("y", 1)]
+    assert filters.top_k_members(df, "v", 1).count() == 2
+
+
+def test_a_long_digit_run_is_no_date(spark):
+    from hirelens.functions import parse
+    df = spark.createDataFrame([("99999999999 dni",), ("2000000000 days",), ("12 dni",)], "v string")
+    got = [r.d for r in df.select(parse.parse_expiration("v", "2024-09-20").alias("d")).collect()]
+    assert got[:2] == [None, None] and str(got[2]) == "2024-10-01"
+
+
+def test_a_retried_batch_is_in_history_once(spark, tmp_path):
+    from hirelens.sources import sinks
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string")
+    for batch in (0, 0, 1):
+        sinks.dual_sink(df, str(tmp_path / "s"), str(tmp_path / "h"), batch, ingest_date="2024-01-02")
+    assert spark.read.parquet(str(tmp_path / "h")).groupBy("batch_id").count().orderBy("batch_id").collect() == [(0, 2), (1, 2)]
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "s")).collect())) == [(1, "a"), (2, "b")]
+
+
+def test_only_a_missing_path_means_nothing_stored(spark, tmp_path):
+    from hirelens.streaming import ingest
+    assert ingest.read_stored(spark, str(tmp_path / "none")) is None
+    with pytest.raises(Exception):
+        ingest.read_stored(spark, "nosuchscheme://x/y")
+
+
+def test_exact_quantiles_match_percentile(spark):
+    from pyspark.sql import functions as F
+    from hirelens.operators.quantiles import exact_quantiles
+    df = spark.range(5000).select((F.col("id") % 3).cast("string").alias("g"), ((F.col("id") * 7919) % 613 / 7.0).alias("v"))
+    df = df.unionByName(spark.createDataFrame([("one", 4.0), ("none", None), (None, 1.0), (None, 2.0)], "g string, v double"))
+    qs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    got = {r.g: [r[f"q{i}"] for i in range(len(qs))] for r in exact_quantiles(df.repartition(7), "g", "v", qs).collect() if r.g}
+    want = {r.g: r.p for r in df.filter("v is not null").groupBy("g").agg(F.percentile("v", F.array(*[F.lit(q) for q in qs])).alias("p")).collect() if r.g}
+    assert got.keys() == want.keys()
+    for g in want:
+        assert got[g] == pytest.approx(want[g], rel=1e-12)
+
+
+def test_describe_takes_dates(spark):
+    from hirelens.operators import profile
+    df = spark.sql("select date'2024-01-01' d, 1.0D v union all select date'2024-01-03', 2.0D union all select null, null")
+    got = {r["column"]: r for r in profile.describe(df, ["v"], dates=["d"]).collect()}
+    assert got["v"]["q50"] == 1.5 and got["d"]["q50"] == 19724.0 and got["d"]["count"] == 2
+
+
+def test_keep_first_with_null_keys_and_ties(spark):
+    from hirelens.operators import dedup
+    df = spark.createDataFrame([(None, 1, "a"), (None, 0, "b"), (1, 1, "c"), (1, 1, "c"), (1, 1, "d")], "k long, o int, p string")
+    got = sorted(((r.k, r.o, r.p) for r in dedup.keep_first(df, ["k"], ["o"]).collect()), key=str)
+    assert len(got) == 2 and (None, 0, "b") in got and got[0][:2] == (1, 1)
