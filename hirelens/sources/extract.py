@@ -1,65 +1,101 @@
 """Posting extraction from stored pages.
 
-S8 is the one place Python runs inside tasks: HTML needs a real parser.  It
-is a ``mapInPandas`` over the pages table (Arrow batches, one declared
-output schema), with the standard-library ``html.parser``; the profile is
-chosen per row by host.  S9 (link discovery) is pure column expressions.
+S8 runs Python inside tasks, as HTML needs a real parser: a ``mapInArrow``
+over the pages table whose only work is to gather the texts of a profile's
+selectors (standard-library ``html.parser``; the profile is chosen per row by
+host).  What becomes of the texts (defaults, trimming, salary text, positional
+facts, provenance) is native column expressions.  S9 (link discovery) is pure
+column expressions.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from html.parser import HTMLParser
-from typing import Iterator
+from typing import Iterator, NamedTuple
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# A profile maps output field -> (tag, required attribute (name, value) or
-# None, "first" | "all").  "first" takes the first matching element's direct
-# text, "all" joins every match's stripped direct text with ";"; no match or
-# empty text -> "N/A".
-PROFILES = {
+from ..functions.parse import offers_text, positional_fields, salary_text, sentinel_default, trim_join
+from ..operators.shaping import with_provenance
+
+
+class Pick(NamedTuple):
+    """A selector: elements matching the last step inside elements matching
+    the steps before (any depth).  A step is ``tag`` or ``tag[attr=token]``,
+    ``*`` being any tag.  ``deep`` takes all text below a match, else only its
+    own."""
+
+    path: str
+    deep: bool = False
+
+
+# Selectors of each page shape, by the name of what they gather.
+PROFILES: dict[str, dict[str, Pick]] = {
+    # every fact in an element that names it
+    "labelled": {
+        "job_title": Pick("h1[data-field=title]"), "employer_name": Pick("h2[data-field=employer]"),
+        "location": Pick("div[data-field=place]"), "expiration": Pick("li[data-field=until] div[class=value]"),
+        "contract_type": Pick("li[data-field=contract] div[class=value]"),
+        "experience_level": Pick("li[data-field=level] div[class=value]"),
+        "hybryd_full_remote": Pick("li[data-field=mode] div[class=value]"),
+        "salary_range": Pick("div[data-field=amount]"), "salary_currency": Pick("div[data-field=currency]"),
+        "salary_kind": Pick("div[data-field=kind]"), "technologies": Pick("section[data-field=stack] li p"),
+        "responsibilities": Pick("section[data-field=tasks] li"), "requirements": Pick("section[data-field=needs] li"),
+        "offering": Pick("section[data-field=offer] li"), "benefits": Pick("ul[data-field=perks] div[class=title]"),
+    },
+    # sections whose text may lie at any depth
+    "sectioned": {
+        "job_title": Pick("h1[id=offer]", True), "employer_name": Pick("a[class=company]"), "location": Pick("div[id=address]"),
+        "expiration": Pick("div[id=expires]"), "contract_type": Pick("div[id=pay] p[class=contract]"),
+        "experience_level": Pick("div[id=levels] span"), "hybryd_full_remote": Pick("div[id=modes] span"),
+        "salary_range": Pick("div[id=pay] p[class=amount]"), "salary_kind": Pick("div[id=pay] p[class=unit]"),
+        "technologies": Pick("div[class=chip] span"), "responsibilities": Pick("div[id=tasks] li", True),
+        "requirements": Pick("div[id=needs] li", True), "offering": Pick("div[id=offering] li", True),
+        "benefits": Pick("div[id=perks] li", True),
+    },
+    # unnamed facts in a fixed order, several offers
+    "ordered": {
+        "job_title": Pick("aside p[class=name]"), "employer_name": Pick("aside p[class=firm]"), "facts": Pick("p[class=fact]"),
+        "offer_amounts": Pick("aside div[class=offer] p[class=amount]"), "offer_kinds": Pick("aside div[class=offer] p[class=kind]"),
+        "responsibilities": Pick("section[id=first] ul li"), "offering": Pick("section[id=second] ul li"),
+        "requirements": Pick("section[id=third] ul li"), "benefits": Pick("ul[class=perks] li"),
+    },
+    # any other page: headline, title, paragraphs, lists
     "article": {
-        "job_title": ("h1", None, "first"),
-        "employer_name": ("title", None, "first"),
-        "responsibilities": ("p", None, "all"),
-        "benefits": ("li", None, "all"),
-        "offering": ("div", ("class", "ad"), "first"),
-        "links_text": ("a", None, "all"),
+        "job_title": Pick("h1", True), "employer_name": Pick("title"), "responsibilities": Pick("article p", True),
+        "benefits": Pick("nav li", True), "offering": Pick("div[class=ad]"), "links_text": Pick("a", True),
     },
 }
-HOST_PROFILES: list[tuple[str, str]] = [("", "article")]  # (host substring, profile)
+HOST_PROFILES: list[tuple[str, str]] = [("labelled.", "labelled"), ("sectioned.", "sectioned"), ("ordered.", "ordered"), ("", "article")]
 
-FIELDS = ["job_title", "employer_name", "responsibilities", "benefits", "offering", "links_text"]
-SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
-                       T.StructField("profile", T.StringType())] +
-                      [T.StructField(f, T.StringType()) for f in FIELDS])
+LISTS = ("technologies", "responsibilities", "requirements", "offering", "benefits", "links_text")
+FIELDS = ("job_title", "employer_name", "location", "expiration", "contract_type", "experience_level", "hybryd_full_remote")
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _IMPLICIT = {"p", "li"}  # a new one closes an open one of the same name
 
 
+def _steps(path: str) -> list[tuple[str, str, str]]:
+    out = []
+    for part in path.split():
+        tag, _, rest = part.partition("[")
+        attr, _, token = rest.rstrip("]").partition("=")
+        out.append((tag, attr, token))
+    return out
+
+
 class _Collector(HTMLParser):
-    """Direct text of elements matching a profile's selectors."""
+    """Texts of the elements that match a profile's selectors."""
 
-    def __init__(self, profile: dict):
+    def __init__(self, profile: dict[str, Pick]):
         super().__init__(convert_charrefs=True)
-        self.profile = profile
-        self.stack: list[tuple[str, list[str]]] = []  # (tag, matching fields)
-        self.texts: dict[str, list[list[str]]] = {f: [] for f in profile}
-
-    def _fields(self, tag, attrs):
-        out = []
-        for field, (t, attr, _mode) in self.profile.items():
-            if t != tag:
-                continue
-            if attr is not None:
-                vals = dict(attrs).get(attr[0]) or ""
-                if attr[1] not in vals.split():
-                    continue
-            out.append(field)
-        return out
+        self.picks = [(name, _steps(p.path), p.deep) for name, p in profile.items()]
+        # open element: tag, steps done of each selector, texts it feeds directly, texts it feeds at any depth
+        self.stack: list[tuple[str, tuple[int, ...], list, list]] = []
+        self.texts: dict[str, list[list[str]]] = {name: [] for name in profile}
 
     def handle_starttag(self, tag, attrs):
         if tag in _VOID:
@@ -69,10 +105,19 @@ class _Collector(HTMLParser):
                 if self.stack[i][0] == tag:
                     del self.stack[i:]
                     break
-        fields = self._fields(tag, attrs)
-        for f in fields:
-            self.texts[f].append([])
-        self.stack.append((tag, fields))
+        values = {k: (v or "").split() for k, v in attrs}
+        above = self.stack[-1] if self.stack else ("", (0,) * len(self.picks), [], [])
+        done, own, deep = list(above[1]), [], list(above[3])
+        for i, (name, steps, whole) in enumerate(self.picks):
+            want, attr, token = steps[done[i]]
+            if want in (tag, "*") and (not attr or token in values.get(attr, ())):
+                if done[i] < len(steps) - 1:
+                    done[i] += 1
+                else:
+                    text: list[str] = []
+                    self.texts[name].append(text)
+                    (deep if whole else own).append(text)
+        self.stack.append((tag, tuple(done), own, deep))
 
     def handle_endtag(self, tag):
         for i in range(len(self.stack) - 1, -1, -1):
@@ -82,49 +127,61 @@ class _Collector(HTMLParser):
 
     def handle_data(self, data):
         if self.stack:
-            for f in self.stack[-1][1]:
-                self.texts[f][-1].append(data)
+            for text in (*self.stack[-1][2], *self.stack[-1][3]):
+                text.append(data)
 
 
-def _profile_for(url: str) -> str:
+def profile_for(url: str | None) -> str:
     host = (url or "").split("//", 1)[-1].split("/", 1)[0]
-    for needle, name in HOST_PROFILES:
-        if needle in host:
-            return name
-    return HOST_PROFILES[-1][1]
-
-
-def extract_page(url: str, html: str) -> tuple[str, dict]:
-    """Fields of one page (also used by tests)."""
-    name = _profile_for(url)
-    profile = PROFILES[name]
-    c = _Collector(profile)
-    c.feed(html or "")
-    c.close()
-    out = {}
-    for field, (_t, _a, mode) in profile.items():
-        parts = ["".join(x).strip() for x in c.texts[field]]
-        if mode == "first":
-            val = parts[0] if parts else ""
-        else:
-            val = ";".join(p for p in parts if p)
-        out[field] = val or "N/A"
-    return name, out
-
-
-def _extract_batches(batches: Iterator) -> Iterator:
-    import pandas as pd
-    for pdf in batches:
-        rows = []
-        for pid, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-            name, vals = extract_page(url, html)
-            rows.append({"page_id": pid, "url": url, "profile": name, **{f: vals.get(f, "N/A") for f in FIELDS}})
-        yield pd.DataFrame(rows, columns=[f.name for f in SCHEMA.fields])
-
-
-def page_fields(pages: DataFrame) -> DataFrame:
-    """One posting-shaped row per page (Arrow-batched, no shuffle)."""
-    return pages.select("page_id", "url", "html").mapInPandas(_extract_batches, SCHEMA)
+    return next(name for needle, name in HOST_PROFILES if needle in host)
+
+
+def gather(url: str | None, html: str | None) -> tuple[str, dict[str, list[str]]]:
+    """The profile of a page and the texts of its selectors, in page order."""
+    name = profile_for(url)
+    collector = _Collector(PROFILES[name])
+    collector.feed(html or "")
+    collector.close()
+    return name, {field: ["".join(x) for x in texts] for field, texts in collector.texts.items()}
+
+
+_FOUND = pa.map_(pa.string(), pa.list_(pa.string()))
+
+
+def _gather_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [gather(u, h) for u, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())]
+        yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array([n for n, _ in found], pa.string()),
+                               pa.array([[*t.items()] for _, t in found], _FOUND)], ["page_id", "url", "profile", "found"])
+
+
+def _texts(name: str) -> Column:
+    return F.coalesce(F.element_at("found", F.lit(name)), F.array().cast("array<string>"))
+
+
+def _first(name: str) -> Column:
+    return F.regexp_replace(F.get(_texts(name), 0), r"(?U)^\s+|\s+$", "")
+
+
+def page_fields(pages: DataFrame, as_of: dt.date | str = "2024-01-02", source: str = "pages") -> DataFrame:
+    """One posting-shaped row per page: first matches, lists trimmed
+    and joined by ``;`` (P13), ``N/A`` where nothing matches (P12), salary
+    text of its parts or of several offers (C26), positional facts (C29),
+    posting date and upload id (P14).  No shuffle."""
+    found = pages.select("page_id", "url", "html").mapInArrow(
+        _gather_batches, "page_id long, url string, profile string, found map<string, array<string>>")
+    facts = positional_fields(F.transform(_texts("facts"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")))
+    ordered = F.col("profile") == "ordered"
+    amounts, kinds = _texts("offer_amounts"), _texts("offer_kinds")
+    pairs = F.transform(amounts, lambda x, i: F.coalesce(F.get(kinds, i), F.lit("N/A")))
+    salary = (F.when(ordered & (F.size(amounts) > 0), offers_text(F.transform(amounts, F.trim), F.transform(pairs, F.trim)))
+              .when(~ordered, salary_text(_first("salary_range"), _first("salary_currency"), _first("salary_kind"))))
+    single = {c: _first(c) for c in FIELDS}
+    for c in ("location", "expiration", "contract_type", "experience_level"):
+        single[c] = F.when(ordered, facts[c]).otherwise(single[c])
+    lists = {c: trim_join(F.filter(_texts(c), lambda x: F.trim(x) != "")) for c in LISTS}
+    out = found.select("page_id", "url", "profile", *[sentinel_default(v).alias(c) for c, v in {**single, "salary": salary, **lists}.items()])
+    return with_provenance(out, as_of, source)
 
 
 ORIGIN_PATTERN = r"^(https?://[^/?#]+)"

@@ -211,14 +211,47 @@ def test_digest_small_and_large(spark):
     assert out[3]["n"] == 0
 
 
-def test_page_extraction():
-    html = ('<html><head><title>Acme</title><script>var t="</p>";</script></head><body>'
-            '<nav><ul><li><a href="/a">A</a></li><li>B</li></ul></nav><div class="ad x">Promo &amp; more</div>'
-            '<h1>Data Engineer</h1><p>first<p>second <b>bold</b></p></body></html>')
-    name, f = extract.extract_page("https://x.example/jobs/1", html)
-    assert f["job_title"] == "Data Engineer" and f["employer_name"] == "Acme"
-    assert f["responsibilities"] == "first;second" and f["benefits"] == "B"
-    assert f["offering"] == "Promo & more" and f["links_text"] == "A"
+SHAPES = {
+    "https://labelled.jobs.example/1": (
+        '<h1 data-field="title"> Data Engineer </h1><h2 data-field="employer">Acme</h2><div data-field="place">Łódź</div>'
+        '<ul><li data-field="until"><div class="value">do 15.10.2024</div></li><li data-field="contract"><div class="big value">B2B</div></li>'
+        '<li data-field="level"><div class="value">Senior</div><div class="value">Lead</div></li></ul>'
+        '<div data-field="amount">10 000 – 12 000</div><div data-field="currency">zł</div><div data-field="kind">brutto</div>'
+        '<section data-field="stack"><ul><li><p> Python </p></li><li><p>Spark</p></li></ul></section>'
+        '<section data-field="tasks"><ul><li>Build </li><li> Ship </li><li> </li></ul></section><li>stray</li>'
+        '<ul data-field="perks"><li><div class="title">Coffee</div></li></ul>'),
+    "https://sectioned.jobs.example/2": (
+        '<h1 id="offer">Data <b>Analyst</b></h1><a class="company x">Beta</a><div id="address">Kraków</div><div id="pay"><p class="amount">100</p>'
+        '<p class="unit">zł/h netto</p></div><div class="chip"><span>SQL</span></div><div id="tasks"><ul><li><span>deep <i>text</i></span></li></ul></div>'
+        '<div id="modes"><span>hybrid work</span></div>'),
+    "https://ordered.jobs.example/3": (
+        '<aside><p class="name">Tester</p><p class="firm">Gamma</p><div class="offer"><p class="amount">1 – 2 zł</p><p class="kind">B2B</p></div>'
+        '<div class="offer"><p class="amount">3 zł</p><p class="kind">contract</p></div></aside>'
+        '<p class="fact"> 12 dni </p><p class="fact">mid</p><p class="fact">x</p><p class="fact">B2B</p><p class="fact">Gdańsk</p><p class="fact">Łódź</p>'
+        '<section id="third"><ul><li>curiosity</li></ul></section>'),
+    "https://x.example/jobs/4": (
+        '<html><head><title>Acme</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">A</a></li><li>B</li></ul></nav>'
+        '<div class="ad x">Promo &amp; more</div><h1>Data Engineer</h1><article><p>first<p>second <b>bold</b></p></article></body></html>'),
+}
+
+
+def test_page_extraction(spark):
+    rows = [(i, u, h) for i, (u, h) in enumerate(SHAPES.items(), 1)] + [(5, None, None), (6, "https://ordered.jobs.example/6", "<p class='fact'>only</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("found", F.lit(1))
+    got = {r.page_id: r for r in extract.page_fields(df, "2024-10-02", "site_a").collect()}
+    a, b, c, d, e, f = (got[i] for i in range(1, 7))
+    assert [x.profile for x in (a, b, c, d, e)] == ["labelled", "sectioned", "ordered", "article", "article"]
+    assert (a.job_title, a.employer_name, a.location, a.expiration, a.contract_type, a.experience_level) == (
+        "Data Engineer", "Acme", "Łódź", "do 15.10.2024", "B2B", "Senior")
+    assert a.salary == "10 000 – 12 000 zł brutto" and a.technologies == "Python;Spark"
+    assert a.responsibilities == "Build;Ship" and a.benefits == "Coffee" and a.requirements == "N/A"
+    assert (b.job_title, b.salary, b.technologies, b.responsibilities, b.hybryd_full_remote) == (
+        "Data Analyst", "100 zł/h netto", "SQL", "deep text", "hybrid work")
+    assert c.salary == "1 – 2 zł (B2B) / 3 zł (contract)" and c.requirements == "curiosity"
+    assert (c.expiration, c.experience_level, c.contract_type, c.location) == ("12 dni", "mid", "B2B", "Gdańsk;Łódź")
+    assert (d.job_title, d.responsibilities, d.benefits, d.offering, d.links_text) == ("Data Engineer", "first;second bold", "A;B", "Promo & more", "A")
+    assert e.job_title == e.salary == "N/A" and f.expiration == "only" and f.location == f.salary == "N/A"
+    assert str(a.date_posted) == "2024-10-01" and a.upload_id == "2024-10-01 00:00:00_site_a"
 
 
 def test_page_links(spark):
