@@ -62,7 +62,7 @@ _BATCH_CUT = "1998-01-01"
 
 def _vocab(pv):
     batch = pv.filter(F.col("date_posted") >= F.lit(_BATCH_CUT).cast("date"))
-    history = pv.filter(F.col("date_posted") < F.lit(_BATCH_CUT).cast("date"))
+    history = pv.filter((F.col("date_posted") < F.lit(_BATCH_CUT).cast("date")) | F.col("date_posted").isNull())
     return enrich.technology_vocabulary([(batch, "technologies_used"), (history, "technologies_used")])
 
 
@@ -72,7 +72,7 @@ _VOCAB_SQL = f"""vocab AS (
     WHERE technologies_used <> 'N/A' AND date_posted >= DATE '{_BATCH_CUT}'
     UNION ALL
     SELECT unnest(regexp_split_to_array(technologies_used, '[,;]')) AS t FROM pv
-    WHERE technologies_used <> 'N/A' AND date_posted < DATE '{_BATCH_CUT}')
+    WHERE technologies_used <> 'N/A' AND (date_posted < DATE '{_BATCH_CUT}' OR date_posted IS NULL))
   WHERE length(trim(t)) >= 2)"""
 
 

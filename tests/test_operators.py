@@ -176,6 +176,7 @@ def test_split_valid_reviews(spark, tmp_path):
 
 
 def test_subscription_matching_equals_per_subscription_filter(spark):
+    regions = F.when(F.col("id") == 1, "ASIA;EUROPE").when(F.col("id") == 2, "PACIFIC")
     posts = spark.createDataFrame([
         (1, "NATION_1;NATION_12", "ECO", "Customer#1", 1, 0, 0, 0, 0, 1, 0, 1, 0, "2024-01-09", "2024-02-01"),
         (2, "NATION_2", "ECO", "Customer#2", 0, 1, 0, 0, 0, 0, 1, 0, 1, "2024-01-09", "2023-01-01"),
@@ -183,10 +184,12 @@ def test_subscription_matching_equals_per_subscription_filter(spark):
     ], "id int, city string, core_role string, employer_name string, internship int, junior int, middle int, "
        "senior int, lead int, full_time int, hybrid int, remote int, language_chinese_mandarin int, "
        "date_posted string, expiration string").withColumn("date_posted", F.to_date("date_posted")) \
-        .withColumn("expiration", F.to_date("expiration"))
+        .withColumn("expiration", F.to_date("expiration")).withColumn("region", regions)
     specs = [{}, {"city": "nation_1"}, {"experience_level": "🌱 Junior;👶 Intern"}, {"work_type": "Hybrid"},
              {"language": "Mandarin 🇨🇳", "expiration_date": "current"}, {"company": "Customer#1"},
-             {"city": "n", "work_type": "Remote"}, {"experience_level": "Unknown"}, {"work_type": "Nope"}]
+             {"city": "n", "work_type": "Remote"}, {"experience_level": "Unknown"}, {"work_type": "Nope"},
+             {"region": "asia"}, {"region": ""}, {"core_role": "PRO"}, {"region": "Eu;pac", "experience_level": "🌱 Junior"},
+             {"expiration_date": "current"}, {"city": "", "company": ""}]
     import json
     subs = spark.createDataFrame([(i, json.dumps(s)) for i, s in enumerate(specs)] + [(99, "{bad"), (98, None)],
                                  "chat_id int, filters string")
@@ -386,3 +389,16 @@ def test_keep_first_with_null_keys_and_ties(spark):
     df = spark.createDataFrame([(None, 1, "a"), (None, 0, "b"), (1, 1, "c"), (1, 1, "c"), (1, 1, "d")], "k long, o int, p string")
     got = sorted(((r.k, r.o, r.p) for r in dedup.keep_first(df, ["k"], ["o"]).collect()), key=str)
     assert len(got) == 2 and (None, 0, "b") in got and got[0][:2] == (1, 1)
+
+
+def test_digest_of_open_subscriptions_needs_no_pairs(spark):
+    import json
+    posts = spark.createDataFrame([(i, "C", "T%d" % i, "E", "u", 1) for i in range(5)], "id int, city string, job_title string, "
+                                  "employer_name string, url string, junior int").withColumn("date_posted", F.lit("2024-01-09").cast("date"))
+    docs = [{}, {"city": ""}, {"city": "c"}, {"experience_level": "🌳 Senior"}, {"notification_time": "10:10"}]
+    subs = subscriptions.parse_filters(spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "chat_id int, filters string"))
+    for threshold in (3, 15):
+        got = {r.chat_id: (r.n, r.message) for r in subscriptions.digest_window(posts, subs, "2024-01-10", 5, threshold).collect()}
+        want = {r.chat_id: (r.n, r.message) for r in subscriptions.digest(
+            subscriptions.match_subscriptions(posts, subs, "2024-01-10", 5), subs, threshold).collect()}
+        assert got == want and got[0][0] == 5 and got[2][0] == 5
