@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, parse, text
 from ..mappings import (BENEFIT_CATEGORIES, CONTRACT_COLUMNS, CONTRACT_LABELS,
-                        CONTRACT_VALUES, JOB_LEVELS, LANGUAGE_KEYWORDS, POLISH_MONTHS,
+                        CONTRACT_VALUES, JOB_LEVELS, LANGUAGE_KEYWORDS, LEVEL_TERMS, POLISH_MONTHS,
                         WORK_TYPE_KEYWORDS)
 from ..sources.postings import AS_OF, postings
 from ..sources.tables import read_table
@@ -139,9 +139,7 @@ def _role_input():
             .otherwise(F.concat(F.lit("Team Lead "), jt, F.lit(" | remote"))))
 
 
-_LEVEL_ALT = "|".join(sorted(["junior", "middle", "mid", "senior", "lead", "team leader", "team lead", "tl",
-                              "intern", "internship", "entry-level", "entry level", "experienced"],
-                             key=lambda w: (-len(w), w)))
+_LEVEL_ALT = "|".join(sorted(LEVEL_TERMS, key=lambda w: (-len(w), w)))
 _ROLE_CLEAN_SQL = f"""
 WITH r AS (SELECT id, {_ROLE_INPUT_SQL} AS title FROM pv),
 c AS (SELECT id, title, trim(regexp_replace(
