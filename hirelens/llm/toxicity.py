@@ -34,6 +34,7 @@ from .sparse_fit import Ftrl
 
 BITS = 18
 DIM = 1 << BITS
+_WORD = (1 << 3 * BITS) - 1
 PIECE = 4_000_000
 
 
@@ -55,6 +56,11 @@ class _Pieces(dict):
         return value
 
 
+def unpacked(coded: np.ndarray) -> np.ndarray:
+    """The three buckets of each word; ``DIM``, which has no weight, for -1."""
+    return np.where(coded[:, None] < 0, DIM, (coded[:, None] >> np.array([0, BITS, 2 * BITS])) & (DIM - 1))
+
+
 class Sentences:
     """Words of texts laid end to end, cut into sentences."""
 
@@ -62,8 +68,8 @@ class Sentences:
         self.known = _Pieces()
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
-        """Buckets of all words (3 columns; ``DIM`` where a word
-        repeats the one before it in its sentence), where sentences begin, the number of sentences
+        """All words' buckets in one number each (-1 where a word repeats the
+        one before it in its sentence), where sentences begin, the number of sentences
         of each text, and the texts' pieces (as written)."""
         pieces = [(t or "").split() for t in texts]
         lower = [(t or "").lower().split() for t in texts]
@@ -76,11 +82,12 @@ class Sentences:
         ends[last[counts > 0] - 1] = True
         begin = np.flatnonzero(np.append(True, ends[:-1])) if len(ends) else np.zeros(0, np.int64)
         total = np.concatenate([[0], np.cumsum(ends)])
-        words = np.stack([(coded >> shift) & (DIM - 1) for shift in (0, BITS, 2 * BITS)], axis=1)
-        again = np.append(False, words[1:, 0] == words[:-1, 0])
+        coded &= _WORD
+        again = np.zeros(len(coded), dtype=bool)
+        again[1:] = coded[1:] == coded[:-1]
         again[begin] = False
-        words[again] = DIM
-        return words, begin, total[last] - total[last - counts], pieces
+        coded[again] = -1
+        return coded, begin, total[last] - total[last - counts], pieces
 
 
 @dataclass
@@ -98,15 +105,15 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_batches(batches, "text", PIECE):
         words, begin, sentences, pieces = cut(batch.column("text").to_pylist())
         sizes = np.diff(np.append(begin, len(words))).astype(np.int32)
-        at = 3 * np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int32)
+        at = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int32)
         of = np.concatenate([[0], np.cumsum(sentences)]).astype(np.int32)
         yield pa.record_batch([
-            batch.column("label"), batch.column("turn"), pa.ListArray.from_arrays(pa.array(at), pa.array(words.ravel().astype(np.int32))),
+            batch.column("label"), batch.column("turn"), pa.ListArray.from_arrays(pa.array(at), pa.array(words)),
             pa.ListArray.from_arrays(pa.array(of), pa.array(sizes))], ["label", "turn", "words", "sizes"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          per_label: int = 8000, epochs: int = 5, alpha: float = 0.5, l1: float = 2.0, l2: float = 0.05) -> Model:
+          per_label: int = 6000, epochs: int = 5, alpha: float = 0.5, l1: float = 2.0, l2: float = 0.05) -> Model:
     """Fit on the documents of ``docs`` that ``labels`` (id, label) marks 0 or 1."""
     marked = labels.select(column(labels, id_col).alias("id"), column(labels, label_col).cast("int").alias("label"))
     marked = marked.filter("id is not null and label in (0, 1)")
@@ -118,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).alias("text"))
     # At most about 2 * per_label rows, whatever the corpus.
     sample = texts.join(F.broadcast(marked.filter(draw < rate)), "id").select("text", "label", F.xxhash64("id", F.lit("turn"), "text").alias("turn"))
-    bags = sample.mapInArrow(_bags, "label int, turn long, words array<int>, sizes array<int>").toArrow()
+    bags = sample.mapInArrow(_bags, "label int, turn long, words array<long>, sizes array<int>").toArrow()
     order = np.argsort(bags.column("turn").to_numpy(), kind="stable").tolist()
     label = bags.column("label").to_pylist()
     words, sizes = bags.column("words").combine_chunks(), bags.column("sizes").combine_chunks()
@@ -128,16 +135,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             size = sizes[i].values.to_numpy()
             if not len(size):
                 continue
-            at, where = np.unique(words[i].values.to_numpy(), return_inverse=True)
+            at, where = np.unique(unpacked(words[i].values.to_numpy()), return_inverse=True)
             w, b = model.weights(at), bias.weights()
             real = at < DIM
             w *= real
             begin = np.cumsum(size) - size
-            p = _sigmoid(np.add.reduceat(w[where], 3 * begin) + b[0] + level)
+            p = _sigmoid(np.add.reduceat(w[where.ravel()], 3 * begin) + b[0] + level)
             whole = -np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())
             # Of the log loss by each sentence's logit.
             g = p * (1.0 if label[i] == 0 else -(1 - whole) / max(whole, 1e-9))
-            model.update(at, w, np.bincount(where, weights=np.repeat(g, 3 * size), minlength=len(at)) * real)
+            model.update(at, w, np.bincount(where.ravel(), weights=np.repeat(g, 3 * size), minlength=len(at)) * real)
             bias.update(slice(None), b, np.array([g.sum()]))
     return Model(model.weights(), float(bias.weights()[0] + level))
 
@@ -147,7 +154,7 @@ def _scorer(model: Model, offending: float):
         cut = Sentences()
         for batch in text_batches(batches, "text", PIECE):
             words, begin, sentences, pieces = cut(batch.column("text").to_pylist())
-            z = np.add.reduceat(model.weights[words].sum(axis=1), begin) + model.bias if len(begin) else np.zeros(0)
+            z = np.add.reduceat(model.weights[unpacked(words)].sum(axis=1), begin) + model.bias if len(begin) else np.zeros(0)
             p = _sigmoid(z)
             clear = np.concatenate([[0.0], np.cumsum(np.log1p(-np.minimum(p, 1 - 1e-12)))])
             last = np.cumsum(sentences)
@@ -161,7 +168,7 @@ def _scorer(model: Model, offending: float):
                 a = int(begin[i] - base[t])
                 spans[t].append({"start": a, "end": a + int(size[i]), "score": float(p[i]), "text": " ".join(pieces[t][a : a + int(size[i])])})
             yield pa.record_batch([
-                batch.column("id"), pa.array(np.clip(score, 0.0, 1.0), pa.float64()),
+                batch.column("id"), pa.array(np.clip(score, 0.0, 1.0) + 0.0, pa.float64()),
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("text", pa.string())])))],
                 ["id", "score", "sentences"])
 
