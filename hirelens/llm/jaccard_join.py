@@ -420,8 +420,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
                .join(pivots, "key").select("key", "part", F.col("p.sid").alias("pivot")))
     held = save(listed.withColumn("part", F.col("key") % 64).join(several, ["key", "part"])
                 .select("pivot", F.col("key").alias("list"), "sid", "info", "component"), "open")
-    salts = held.groupBy("pivot").agg(F.ceil(F.count("*") / 10_000).cast("int").alias("salts"))
-    dealt = held.join(salts, "pivot").withColumn("salt", F.pmod(F.hash("list"), F.col("salts")))
+    part = (F.col("pivot") % 64).alias("part")
+    salts = held.groupBy("pivot").agg(F.ceil(F.count("*") / 10_000).cast("int").alias("salts")).select("*", part)
+    dealt = held.select("*", part).join(salts, ["pivot", "part"]).withColumn("salt", F.pmod(F.hash("list"), F.col("salts")))
     maps = (dealt.select("pivot", "salt", "sid").distinct().join(bits.select("sid", "bits"), "sid")
             .select("pivot", "salt", F.lit(None).cast("long").alias("list"), "sid", F.lit(None).cast("long").alias("info"),
                     F.lit(None).cast("long").alias("component"), "bits"))
