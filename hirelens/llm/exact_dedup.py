@@ -84,7 +84,9 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts:
     best = winners(df, id_col, text_col, salts, digest)
     rows = _rows(df, id_col, text_col, digest).select(
         "id", "digest", "check", "length", F.sha2("norm", 256).alias("text_sha256"))
-    joined = rows.join(best, ["digest", "check"])
+    # The third key makes both sides plain shuffles, so AQE may split a hot text's rows.
+    part = (F.crc32("digest") % 64).alias("part")
+    joined = rows.select("*", part).join(best.select("*", part), ["digest", "check", "part"])
     # Only rows that repeat id and text compete here, so no group is hot.
     turn = F.row_number().over(Window.partitionBy("id", "text_sha256").orderBy(F.col("length").desc()))
     keep = _unpacked_id(F.col("best"))
