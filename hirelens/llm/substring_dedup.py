@@ -226,7 +226,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     seen = F.count("*").over(Window.partitionBy("key"))
     places = (anchors.withColumn("n", seen).filter(F.col("row").isNotNull() & (F.col("known") | (F.col("n") > 1)))
               .groupBy("row").agg(F.collect_list("place").alias("places")))
-    found = (base.select("row", "text").join(places, "row")
+    # The id goes along unread, so that this join and the last deal the texts alike, once.
+    found = (base.join(places, "row").select("id", "row", "text", "places")
              .mapInArrow(window_rows(window, gram), "kind int, key long, row long, start int, hashes array<long>, mask long, hot boolean")
              .repartition("key"))
     each = (found.filter("kind > 0").select("kind", "key", "row", "start", "hot", F.posexplode("hashes").alias("offset", "hash"))
