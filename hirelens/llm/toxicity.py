@@ -9,6 +9,8 @@ own probability, so weight settles on the sentences that explain the label, and
 these are then located. Weights are fitted by follow-the-regularised-leader with
 elastic-net penalties on a bounded sample of labelled rows (about ``per_label`` of each
 label, drawn by a hash of the id); every document is scored over its whole text.
+Where one label is drawn at a higher rate than the other, the ratio of the rates is an
+offset of the document's logit while fitting, so scores keep to the odds of all labels.
 
 A sentence ends at a piece that ends in ``.``, ``!`` or ``?`` (symbols after it allowed).
 
@@ -113,7 +115,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          per_label: int = 6000, epochs: int = 5, alpha: float = 0.5, l1: float = 2.0, l2: float = 0.05) -> Model:
+          per_label: int = 8000, epochs: int = 5, alpha: float = 0.5, l1: float = 2.0, l2: float = 0.05) -> Model:
     """Fit on the documents of ``docs`` that ``labels`` (id, label) marks 0 or 1."""
     marked = labels.select(column(labels, id_col).alias("id"), column(labels, label_col).cast("int").alias("label"))
     marked = marked.filter("id is not null and label in (0, 1)")
@@ -121,7 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not counts:
         return Model(np.zeros(DIM + 1), -40.0)
     draw = F.pmod(F.xxhash64("id", F.lit("toxic")), F.lit(1 << 20)) / float(1 << 20)
-    rate = F.when(F.col("label") == 1, min(1.0, per_label / counts.get(1, 1))).otherwise(min(1.0, per_label / counts.get(0, 1)))
+    drawn = [min(1.0, per_label / counts.get(k, 1)) for k in (0, 1)]
+    rate, odds = F.when(F.col("label") == 1, drawn[1]).otherwise(drawn[0]), drawn[1] / drawn[0]
     texts = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).alias("text"))
     # At most about 2 * per_label rows, whatever the corpus.
     sample = texts.join(F.broadcast(marked.filter(draw < rate)), "id").select("text", "label", F.xxhash64("id", F.lit("turn"), "text").alias("turn"))
@@ -142,8 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             begin = np.cumsum(size) - size
             p = _sigmoid(np.add.reduceat(w[where.ravel()], 3 * begin) + b[0] + level)
             whole = -np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())
-            # Of the log loss by each sentence's logit.
-            g = p * (1.0 if label[i] == 0 else -(1 - whole) / max(whole, 1e-9))
+            # Of the log loss by each sentence's logit; in the sample the document's odds are ``odds`` times as high.
+            g = p * (odds if label[i] == 0 else -(1 - whole) / max(whole, 1e-9)) / (1 - whole + odds * whole)
             model.update(at, w, np.bincount(where.ravel(), weights=np.repeat(g, 3 * size), minlength=len(at)) * real)
             bias.update(slice(None), b, np.array([g.sum()]))
     return Model(model.weights(), float(bias.weights()[0] + level))

@@ -67,3 +67,14 @@ def test_nothing_to_learn_from(spark):
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs, model).collect()[0].score < 1e-9
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_the_odds_of_all_labels_hold_whatever_the_sample(spark):
+    # A fifth of the documents that hold the word are toxic.
+    rnd = np.random.default_rng(5)
+    docs = [(i, " ".join(rnd.choice(GOOD, 8)).capitalize() + (" scoundrel." if i < 1000 else ".")) for i in range(4000)]
+    labels = spark.createDataFrame([(i, int(i < 200)) for i, _ in docs], "doc_id long, toxic int")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    case = spark.createDataFrame([(0, "Wordaa wordab scoundrel.")], "doc_id long, text string")
+    whole, part = (toxicity.score(case, toxicity.train(df, labels, per_label=n, l1=0.5)).collect()[0].score for n in (4000, 200))
+    assert 0.1 < whole < 0.4 and 0.1 < part < 0.4
