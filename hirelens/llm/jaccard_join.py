@@ -22,8 +22,11 @@ Near copies would give all pairs of a list. Instead
    shingles not shared); the real sets decide, and links are merged to components;
 3. whatever list still holds classes of different components contributes the pairs
    between these, and every one of them is settled by the bit maps or the sets. Lists
-   of one pivot hold much the same classes, so they are settled together, in groups
-   of bounded size, and a pair that many lists hold is looked at once.
+   of one pivot hold much the same classes, so they are settled together, and a pair
+   that many lists hold is looked at once. Lists of up to ``LONG`` members are dealt
+   whole, about 10,000 rows to a group; the classes of a pivot's longer lists are cut
+   into blocks, and every two blocks are a group. So no group grows with a list,
+   though a list of unlinked classes still costs its pairs, spread over tasks.
 So no link that could join two components is left unsettled, and a group of
 thousands of near copies costs pairs in proportion to its members.
 
@@ -55,6 +58,11 @@ PIECE = 5_000_000
 BUCKETS = 20
 #: Sizes above this are heavy at any cost.
 LIGHT_MAX = 256
+#: Longer lists are settled by blocks of about ``BLOCK`` classes, two at a time.
+LONG = 1000
+BLOCK = 1000
+#: Numbers of pairs collected before repeated ones are dropped.
+HELD = 4_000_000
 
 
 class Sets:
@@ -208,37 +216,25 @@ def _signatures(words: int, heat: bytes, light: int):
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """Batches sorted by ``key``, cut anew so that no key is in two of them."""
-    held: list[dict[str, np.ndarray]] = []
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings sorted by (key, info, sid) -> those of lists of two classes or more;
+    of a list only the last row is held."""
+    names = ("key", "sid", "info")
+    last, joined = {c: np.zeros(0, np.int64) for c in names}, False
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = {c: batch.column(c).to_numpy() for c in names}
-        cut = int(np.flatnonzero(np.diff(now["key"]))[-1]) + 1 if now["key"][0] != now["key"][-1] else 0
-        if held and held[0]["key"][-1] != now["key"][0]:
-            yield {c: np.concatenate([h[c] for h in held]) for c in names}
-            held = []
-        if cut:
-            parts = [*held, {c: v[:cut] for c, v in now.items()}]
-            yield {c: np.concatenate([h[c] for h in parts]) for c in names}
-            held = []
-        held.append({c: v[cut:] for c, v in now.items()})
-    if held:
-        yield {c: np.concatenate([h[c] for h in held]) for c in names}
-
-
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by (key, info, sid) -> those of lists of two classes or more."""
-    for run in _runs(batches, ["key", "sid", "info"]):
-        key, own = run["key"], run["sid"]
-        fresh = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))
-        cols = {c: v[fresh] for c, v in run.items()}
-        begin = np.flatnonzero(np.append(True, cols["key"][1:] != cols["key"][:-1]))
-        size = np.diff(np.append(begin, len(cols["key"])))
-        long = np.repeat(size > 1, size)
+        cols = {c: np.concatenate([last[c], batch.column(c).to_numpy()]) for c in names}
+        fresh = np.append(True, (cols["key"][1:] != cols["key"][:-1]) | (cols["sid"][1:] != cols["sid"][:-1]))
+        cols = {c: v[fresh] for c, v in cols.items()}
+        same = cols["key"][1:] == cols["key"][:-1]
+        before = np.append(joined, same)
+        long = (before | np.append(same, False))[:-1]
         if long.any():
-            yield pa.record_batch([pa.array(cols[c][long]) for c in ("key", "sid", "info")], ["key", "sid", "info"])
+            yield pa.record_batch([pa.array(cols[c][:-1][long]) for c in names], [*names])
+        last, joined = {c: v[-1:] for c, v in cols.items()}, bool(before[-1])
+    if joined:
+        yield pa.record_batch([pa.array(last[c]) for c in names], [*names])
 
 
 def _not_ruled_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +251,13 @@ def _not_ruled_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members sorted by (key, info, sid) with their component -> pairs (a, b) next
     to each other, of different components, whose sizes allow a link."""
-    for part in _runs(batches, ["key", "sid", "info", "component"]):
+    names = ("key", "sid", "info", "component")
+    last = {c: np.zeros(0, np.int64) for c in names}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = {c: np.concatenate([last[c], batch.column(c).to_numpy()]) for c in names}
+        last = {c: v[-1:] for c, v in part.items()}
         key, own, n, comp = part["key"], part["sid"], part["info"] >> 2, part["component"]
         i = np.flatnonzero((key[1:] == key[:-1]) & (comp[1:] != comp[:-1]) & (4 * n[:-1] >= 3 * n[1:]))
         yield pa.record_batch([pa.array(own[i]), pa.array(own[i + 1])], ["a", "b"])
@@ -264,7 +266,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (pivot, salt, list): the bit maps of a group's classes (list
     null), then its lists' members -> pairs (a, b) of different components that the
-    lists make candidates and the bit maps do not rule out."""
+    lists make candidates and the bit maps do not rule out. Members of one block (not
+    negative) are no candidates of each other here."""
 
     def settle(rows: dict[str, list]) -> pa.RecordBatch | None:
         own = np.concatenate(rows["sid"])
@@ -272,29 +275,39 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = len(bits)
         order = np.argsort(own[:known], kind="stable")
         at = order[np.searchsorted(own[:known], own[known:], sorter=order)]
-        key, info, comp = (np.concatenate(rows[c])[known:] for c in ("list", "info", "component"))
+        key, info, comp, block = (np.concatenate(rows[c])[known:] for c in ("list", "info", "component", "block"))
         n, role = info >> 2, info & 3
         size = np.zeros(known, dtype=np.int64)
         size[at] = n
         begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         end = np.append(begin[1:], len(key))
-        codes = []
+        # A pair's place in a table where that is small, else its number.
+        seen, codes, held = np.zeros(known * known if known <= 4 * BLOCK else 0, dtype=bool), [], 0
         for a, b in zip(begin.tolist(), end.tolist()):
             most = a + np.searchsorted(n[a:b], n[a:b] * 4 // 3, "right")
             for i in range(a, b - 1):
                 # Either both are subsets, or the smaller is indexed and the larger scans.
                 ok = (comp[i + 1 : most[i - a]] != comp[i]) & ((role[i + 1 : most[i - a]] & 1 == 1) if role[i] >= 2 else (role[i + 1 : most[i - a]] == 0) & (role[i] == 0))
+                if block[i] >= 0:
+                    ok &= block[i + 1 : most[i - a]] != block[i]
                 j = np.flatnonzero(ok) + i + 1
-                if len(j):
-                    codes.append(at[i] * known + at[j])
-        if not codes:
+                if not len(j):
+                    continue
+                if len(seen):
+                    seen[at[i] * known + at[j]] = True
+                    continue
+                codes.append(at[i] * known + at[j])
+                held += len(j)
+                if held > HELD:
+                    codes, held = [np.unique(np.concatenate(codes))], 0
+        code = np.flatnonzero(seen) if len(seen) else np.unique(np.concatenate([np.zeros(0, np.int64), *codes]))
+        if not len(code):
             return None
-        code = np.unique(np.concatenate(codes))
         i, j = code // known, code % known
         keep = _may_link(bits, size, i, j)
         return pa.record_batch([pa.array(own[i[keep]]), pa.array(own[j[keep]])], ["a", "b"]) if keep.any() else None
 
-    names = ("sid", "list", "info", "component", "bits")
+    names = ("sid", "list", "info", "component", "block", "bits")
     rows: dict[str, list] = {c: [] for c in names}
     now = None
     for batch in batches:
@@ -367,6 +380,24 @@ def _best(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     return left.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
 
 
+def _dealt(held: DataFrame) -> DataFrame:
+    """Members of open lists with the group (pivot, salt) that settles them: whole
+    lists, or (salt below 0) two blocks of a pivot's long lists, ``block`` being -1
+    where the group is one block with itself."""
+    part = (F.col("pivot") % 64).alias("part")
+    short, long = held.filter(F.col("length") <= LONG), held.filter(F.col("length") > LONG)
+    salts = short.groupBy("pivot").agg(F.ceil(F.count("*") / 10_000).alias("salts")).select("*", part)
+    whole = (short.select("*", part).join(salts, ["pivot", "part"])
+             .select("pivot", F.pmod(F.hash("list"), F.col("salts")).alias("salt"), "list", "sid", "info", "component", F.lit(-1).cast("long").alias("block")))
+    blocks = (long.select("pivot", "sid").distinct().groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).select("*", part))
+    x, y = F.col("x"), F.col("y")
+    cut = (long.select("*", part).join(blocks, ["pivot", "part"]).withColumn("x", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+           .withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+           .select("pivot", (-1 - F.least(x, y) * F.col("blocks") - F.greatest(x, y)).alias("salt"), "list", "sid", "info", "component",
+                   F.when(x == y, -1).otherwise(x).cast("long").alias("block")))
+    return whole.unionByName(cut)
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
             scan_cost: float = 4.0) -> tuple[DataFrame, DataFrame]:
     """(documents, links): documents has one row per row of ``df`` with id, n
@@ -416,17 +447,15 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     found = save(components(links), "components")
 
     listed = _labelled(members, "sid", found, "component")
-    several = (listed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-               .join(pivots, "key").select("key", "part", F.col("p.sid").alias("pivot")))
+    several = (listed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("length")).filter("x <> y")
+               .join(pivots, "key").select("key", "part", "length", F.col("p.sid").alias("pivot")))
     held = save(listed.withColumn("part", F.col("key") % 64).join(several, ["key", "part"])
-                .select("pivot", F.col("key").alias("list"), "sid", "info", "component"), "open")
-    part = (F.col("pivot") % 64).alias("part")
-    salts = held.groupBy("pivot").agg(F.ceil(F.count("*") / 10_000).cast("int").alias("salts")).select("*", part)
-    dealt = held.select("*", part).join(salts, ["pivot", "part"]).withColumn("salt", F.pmod(F.hash("list"), F.col("salts")))
+                .select("pivot", F.col("key").alias("list"), "sid", "info", "component", "length"), "open")
+    dealt = _dealt(held)
+    none = F.lit(None).cast("long")
     maps = (dealt.select("pivot", "salt", "sid").distinct().join(bits.select("sid", "bits"), "sid")
-            .select("pivot", "salt", F.lit(None).cast("long").alias("list"), "sid", F.lit(None).cast("long").alias("info"),
-                    F.lit(None).cast("long").alias("component"), "bits"))
-    rows = dealt.select("pivot", "salt", "list", "sid", "info", "component", F.lit(None).cast("binary").alias("bits"))
+            .select("pivot", "salt", none.alias("list"), "sid", none.alias("info"), none.alias("component"), none.alias("block"), "bits"))
+    rows = dealt.select("pivot", "salt", "list", "sid", "info", "component", "block", F.lit(None).cast("binary").alias("bits"))
     left = (maps.unionByName(rows).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "list", "info", "sid")
             .mapInArrow(_open_pairs, "a long, b long").distinct())
     links = links.unionByName(_check(left, bits, texts, words))

@@ -115,3 +115,44 @@ def test_components_of_paths_and_rings(spark, n):
     edges = [(names[i], names[i + 1]) for i in range(n)] + [(names[0], names[0])]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: min(names[: n + 1]) for x in names[: n + 1]}
+
+
+def template_pages(n):
+    """Pages of one template with 76 of 96 shingles shared, which do not link; every
+    hundredth has a copy with another last word, which does."""
+    shared = " ".join(f"t{i}" for i in range(80))
+    pages = [shared + " " + " ".join(f"p{k}x{i}" for i in range(20)) for k in range(n)]
+    return pages + [pages[k].rsplit(" ", 1)[0] + " last" for k in range(0, n, 100)]
+
+
+def test_pages_of_one_template_are_settled_in_bounded_groups(frame, monkeypatch, tmp_path):
+    n, settle, folder = 4000, J._open_pairs, str(tmp_path)
+
+    def watched(batches):
+        def see():
+            classes = {}
+            for batch in batches:
+                for p, s, x in zip(*(batch.column(c).to_pylist() for c in ("pivot", "salt", "sid"))):
+                    classes.setdefault((p, s), set()).add(x)
+                yield batch
+            if classes:
+                import uuid
+                with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(str(max(map(len, classes.values()))))
+        yield from settle(see())
+
+    monkeypatch.setattr(J, "_open_pairs", watched)
+    df = save(frame([(i, t, "s") for i, t in enumerate(template_pages(n))]).repartition(8), "docs")
+    got = {r.id: r.component_id for r in J.assign(df).collect()}
+    assert got == {i: i if i < n else (i - n) * 100 for i in range(n + n // 100)}
+    most = max(int(f.read_text()) for f in tmp_path.iterdir())
+    assert 1000 < most <= 2500
+
+
+def test_blocks_of_long_lists_match_brute_force(frame, monkeypatch):
+    monkeypatch.setattr(J, "LONG", 5)
+    monkeypatch.setattr(J, "BLOCK", 4)
+    texts = template_pages(120) + corpus(11, 60)
+    df = save(frame([(i, t, "s") for i, t in enumerate(texts)]).repartition(3), "docs")
+    want = brute(list(range(len(texts))), texts)
+    assert {r.id: r.component_id for r in J.assign(df).collect()} == {i: c if n else i for i, (n, c) in enumerate(want)}
