@@ -4,11 +4,12 @@ Patterns give the base spans (email, ip, card, phone), which always stay. They m
 mentions that only the rest of the document gives away: the number of a phone
 written again without its prefix, a card number with other separators, the local part
 of an address. The field has a node for each token with a digit or ``@`` (and for words
-equal to the local part of a base address), labelled O or a kind. Its potentials:
+equal to the local part of a base address: 6 characters, or 8 if all are letters), labelled O or a kind. Its potentials:
 
 * node: hashed features of shape, length, checks passed and neighbouring words;
 * chain: nodes that stand side by side;
-* skip: nodes with the same normalised text or the same last seven digits, however
+* skip: nodes with the same normalised text or the same last seven digits (of the whole
+  number where it is written in blanks), however
   far apart; each is tied to the nearest ones alike and to the nearest ones alike
   in a base span, before and after it, so edges grow with the tokens.
 
@@ -116,9 +117,9 @@ def _shape(token: str) -> str:
 def graph(text: str, spans: list[tuple[int, int, int]]) -> Graph | None:
     """The field of one document; None where there is no node."""
     locals_ = {text[a:b].partition("@")[0].lower() for a, k, b in spans if k == 0}
-    locals_ = {x for x in locals_ if len(x) >= 6 and not x.isalpha()}
+    locals_ = {x for x in locals_ if len(x) >= (8 if x.isalpha() else 6)}
     words = [(m.start(), m.group()) for m in _TOKEN.finditer(text)]
-    nodes, features, keys = [], [], []
+    nodes, features, keys, numbers = [], [], [], []
     for i, (at, word) in enumerate(words):
         core = word.lstrip(_EDGE)
         a = at + len(word) - len(core)
@@ -143,12 +144,34 @@ def graph(text: str, spans: list[tuple[int, int, int]]) -> Graph | None:
         elif core.lower() in locals_:
             key.append(("local", core.lower()))
         keys.append(key)
+        numbers.append(digits if len(digits) == len(alnum) else "")
     if not nodes:
         return None
     start, end = (np.array([x[j] for x in nodes]) for j in (1, 2))
     label = np.zeros(len(nodes), dtype=np.int64)
     for a, kind, b in reversed(spans):
         label[np.searchsorted(end, a, "right") : np.searchsorted(start, b, "left")] = kind + 1
+    # A number written in blanks: all its nodes have the key of the joined digits.
+    tails: dict[str, list[str]] = {}
+    for a, kind, b in spans:
+        whole = _NOT_DIGIT.sub("", text[a:b])
+        if kind >= 2:
+            tails.setdefault(whole[-7:], []).append(whole)
+            for n in range(np.searchsorted(end, a, "right"), np.searchsorted(start, b, "left")):
+                keys[n].append(("digits", whole[-7:]))
+    tails = {tail: [*dict.fromkeys(known)] for tail, known in tails.items()}
+    for n in range(len(nodes) if tails else 0):
+        joined, first = numbers[n], n
+        while first and numbers[first] and not label[first] and nodes[first - 1][0] == nodes[first][0] - 1 and numbers[first - 1] and not label[first - 1]:
+            first -= 1
+            joined = numbers[first] + joined
+            if len(joined) > 20:
+                break
+            bare = joined.lstrip("0")
+            if len(bare) >= 7 and any(known.endswith(bare) for known in tails.get(bare[-7:], ())):
+                for m in range(first, n + 1):
+                    keys[m].append(("digits", bare[-7:]))
+    keys = [[*dict.fromkeys(key)] for key in keys]
     edges: dict[tuple[int, int], bool] = {}
     for n in range(1, len(nodes)):
         if nodes[n - 1][0] == nodes[n][0] - 1:

@@ -96,3 +96,19 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "plain text")], "doc_id long, text string")
     model = pii_crf.train(df)
     assert pii_crf.find(df, model).collect()[0].spans == [] and pii_crf.find(df.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("text,want", [
+    ("card 4111 1111 1111 1111 page alpha 4111.1111.1111.1111 beta", [("card", "4111.1111.1111.1111")]),
+    ("card 4111.1111.1111.1111 page 12 item +44 20 7946 0958 beta, gamma 020 7946 0958 delta 02079460958 end", [("phone", "020 7946 0958"), ("phone", "02079460958")]),
+    ("call +44 20 7946 0958 alpha 2024 7946 1234 beta", [])])
+def test_numbers_in_blanks(model, text, want):
+    added = pii_crf.added_spans(text, pii_crf.base_spans(text), model, 0.6)
+    assert [(pii_crf.KINDS[k], text[a:b]) for a, k, b in added] == want
+
+
+def test_a_local_part_of_letters_is_tied_to_its_address():
+    text = "mail johnsmith@x.org alpha room johnsmith beta"
+    g = pii_crf.graph(text, pii_crf.base_spans(text))
+    assert [text[a:b] for a, b in zip(g.start, g.end)] == ["johnsmith@x.org", "johnsmith"]
+    assert g.edges.tolist() == [[0, 1]] and g.skip.all()
