@@ -2,8 +2,9 @@
 
 All vectors are dealt over stripes of about ``stripe_rows`` rows; the stated
 query set is sent to every stripe, in blocks. Within a stripe each pair of a query
-block and a tile of vectors is one int8 matrix product (done in float32, where
-products and sums of these integers are exact). It gives every inner product with
+block and a tile of vectors is one int8 matrix product (done in float32 over slices
+of up to ``EXACT`` dimensions, where products and sums of these integers are exact,
+and summed in double precision). It gives every inner product with
 an error bound that follows from the two rounding residuals:
 
     x = s*q + r:  |<x,y> - s*t*<q,p>| <= |r||y| + |s*q||u|   (u the residual of y)
@@ -36,6 +37,8 @@ from .common import column
 
 #: Queries and vectors of one product.
 BLOCK, TILE = 512, 4096
+#: 127 * 127 times this is below 2^24.
+EXACT = 1024
 
 
 def usable(vector: Column) -> Column:
@@ -63,7 +66,9 @@ class Tile:
 
 def block_nearest(queries: Tile, tile: Tile, heaps: list[list[tuple[float, int]]], k: int) -> None:
     """Take the tile's vectors up into the queries' heaps of (score, -id)."""
-    product = queries.int8.astype(np.float32) @ tile.int8.astype(np.float32).T
+    product = np.zeros((len(queries.ids), len(tile.ids)))
+    for d in range(0, queries.int8.shape[1], EXACT):
+        product += queries.int8[:, d : d + EXACT].astype(np.float32) @ tile.int8[:, d : d + EXACT].astype(np.float32).T
     about = product * (queries.scale[:, None] * tile.scale[None, :])
     slack = (queries.rest_norm[:, None] * tile.norm[None, :] + queries.back_norm[:, None] * tile.rest_norm[None, :]) + 1e-9 * np.abs(about)
     own = queries.ids[:, None] == tile.ids[None, :]

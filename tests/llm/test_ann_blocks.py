@@ -47,3 +47,15 @@ def test_repeated_ids_are_candidates_but_not_their_own(spark):
     got = ann_blocks.nearest(df, F.col("vec_id") % 20 == 0, k=3).collect()
     assert {r.vec_id for r in got} == {3}
     assert ann_blocks.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_products_of_many_dimensions_are_exact():
+    # Whole numbers up to 127 leave no residual, so nothing but the product decides.
+    rnd = np.random.default_rng(3)
+    queries = np.full((20, 5000), 127.0) - rnd.integers(0, 3, (20, 5000))
+    vectors = np.full((200, 5000), 127.0) - (rnd.random((200, 5000)) < 0.002)
+    queries[:, 0] = vectors[:, 0] = 127.0
+    heaps = [[] for _ in queries]
+    ann_blocks.block_nearest(ann_blocks.Tile(1000 + np.arange(20), queries), ann_blocks.Tile(np.arange(200), vectors), heaps, 3)
+    for q, heap in zip(queries, heaps):
+        assert sorted(s for s, _ in heap) == sorted((vectors @ q).tolist())[-3:]
