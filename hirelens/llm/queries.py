@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_blocks, bpe, exact_dedup, jaccard_join, langid, mixing, pii_crf, substring_dedup, toxicity, warc
+from . import (ann_blocks, bpe, exact_dedup, jaccard_join, langid, mixing, pii_crf, spelling, substring_dedup, term_scan, token_store,
+               toxicity, warc)
 from .common import crc_mod, read_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +143,40 @@ def op2(spark, sf_dir):
     kinds = F.transform(base, lambda s: s.kind)
     counts = [F.size(F.filter(kinds, lambda x: x == F.lit(k))).cast("long").alias(f"n_{k}") for k in pii_crf.KINDS]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query("op11_term_scan", r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+d AS (SELECT row_number() OVER () AS row, doc_id, terms, len(terms)::BIGINT AS n FROM t WHERE len(terms) > 0),
+s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM d),
+tf AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY row, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, docs),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+c AS (SELECT i.item_id, d.doc_id, d.row,
+             sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * (100 - 50 + (50 * d.n * s.docs) // s.words))))::BIGINT AS score
+      FROM i JOIN tf ON i.term = tf.term JOIN w ON w.term = tf.term JOIN d ON d.row = tf.row, s GROUP BY i.item_id, d.doc_id, d.row),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM c WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50""")
+def op11(spark, sf_dir):
+    docs = read_columns(spark, sf_dir, "documents", ["doc_id", "text"])
+    items = read_columns(spark, sf_dir, "benchmark", ["item_id", "text"])
+    return term_scan.search(docs, items)
+
+
+@query("op12_token_store")
+def op12(spark, sf_dir):
+    import public_tokenizers
+
+    docs = read_columns(spark, sf_dir, "documents", ["doc_id", "text"])
+    found = token_store.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.col("crc32").alias("ids_crc32"))
+
+
+@query("op13_spelling_variants")
+def op13(spark, sf_dir):
+    docs = read_columns(spark, sf_dir, "documents", ["doc_id", "text"])
+    return spelling.variants(docs)
