@@ -198,27 +198,37 @@ def salary_box_stats(df: DataFrame, levels: Sequence[str], start: str = "start_s
     then median, quartiles, mean and sample sd of start, max and mid salary.
 
     The levels are unpivoted into one ``level`` key so one grouped
-    aggregate serves all of them; quantiles come from ranks in
-    range-partitioned order, so no level is gathered in one buffer.
+    aggregate serves all of them; quantiles come from counted ranges, so no
+    level is gathered in one buffer. Nothing runs before the caller's action.
     """
     stacked = (df.select(F.col(start).alias("s"), F.col(high).alias("m"),
                          F.explode(F.array(*[F.when(F.col(l) == 1, F.lit(l)) for l in levels])).alias("level"))
-               .filter(F.col("level").isNotNull() & (F.col("s") != 0)))
-    q = exact_quantiles(stacked, "level", "s", (0.25, 0.75))
-    bounds = q.select("level", (F.col("q1") + whisker * (F.col("q1") - F.col("q0"))).alias("_ub"))
+               .filter(F.col("level").isNotNull() & (F.col("s") != 0))
+               # Equal salaries are one row with a count; every later step reads this exchange.
+               .groupBy("level", "s", "m").agg(F.count(F.lit(1)).alias("c")))
+    q = exact_quantiles(stacked, "level", "s", (0.25, 0.75), weight="c")
+    bounds = q.select("level", F.col("q0").alias("_at"), (F.col("q1") + whisker * (F.col("q1") - F.col("q0"))).alias("_ub"))
     kept = (stacked.join(F.broadcast(bounds), "level")  # one row per listed level
             .filter(F.col("s") <= F.col("_ub"))
             .withColumn("mid", (F.col("s") + F.col("m")) / 2))
     names = (("start", "s"), ("max", "m"), ("mid", "mid"))
-    aggs = [x for name, c in names for x in (F.avg(c).alias(f"{name}_mean"), F.stddev_samp(c).alias(f"{name}_sd"))]
+    c, at = F.col("c"), F.col("_at")
+    # Moments of the distance from Q1, which keeps their differences exact.
+    sums = [x for name, col in names for x in (
+        F.sum(F.when(F.col(col).isNotNull(), c)).alias(f"_{name}_n"), F.sum(c * (F.col(col) - at)).alias(f"_{name}_1"),
+        F.sum(c * (F.col(col) - at) * (F.col(col) - at)).alias(f"_{name}_2"))]
     # The three salaries as one column keyed (level, salary).
-    long = kept.select(F.explode(F.array(*[F.struct(F.concat("level", F.lit("/" + name)).alias("k"), F.col(c).cast("double").alias("v"))
-                                           for name, c in names])).alias("x")).select("x.k", "x.v")
-    quart = exact_quantiles(long, "k", "v", (0.25, 0.5, 0.75))
+    long = kept.select("c", F.explode(F.array(*[F.struct(F.concat("level", F.lit("/" + name)).alias("k"), F.col(col).cast("double").alias("v"))
+                                                for name, col in names])).alias("x")).select("c", "x.k", "x.v")
+    quart = exact_quantiles(long, "k", "v", (0.25, 0.5, 0.75), weight="c")
     quart = quart.groupBy(F.substring_index("k", "/", 1).alias("level")).agg(*[
         F.max(F.when(F.substring_index("k", "/", -1) == name, F.col(f"q{i}"))).alias(f"{name}_{part}")
         for name, _ in names for i, part in enumerate(("q1", "median", "q3"))])
-    out = kept.groupBy("level").agg(F.count(F.lit(1)).alias("n"), *aggs).join(quart, "level", "left")
+    out = kept.groupBy("level").agg(F.sum("c").alias("n"), F.max("_at").alias("_at"), *sums).join(quart, "level", "left")
+    for name, _ in names:
+        n, one, two = (F.col(f"_{name}_{x}") for x in ("n", "1", "2"))
+        out = out.withColumn(f"{name}_mean", at + one / n).withColumn(
+            f"{name}_sd", F.when(n > 1, F.sqrt(F.greatest((two - one * one / n) / (n - 1), F.lit(0.0)))))
     cols = ["level", "n"]
     for name, _ in names:
         cols += [f"{name}_q1", f"{name}_median", f"{name}_q3", f"{name}_mean", f"{name}_sd"]

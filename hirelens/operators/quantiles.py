@@ -1,43 +1,47 @@
 """Exact quantiles of many groups without a buffer per group.
 
-Equal values are counted (partial aggregation), the (group, value, count) rows
-are range-partitioned, and a value's ranks are its running count inside its
-partition plus the counts of the partitions before.  A group as large as the
-table is thus spread over all partitions; the only window over whole groups has
-one row per group and partition.
+Two passes of counted ranges narrow to the wanted ranks. Equal values are counted
+once (partial aggregation; all later steps read that one exchange). A sketch of
+each group's distinct values gives cut points, values are counted per range between
+them, and running counts over a group's few ranges tell which ranges hold the wanted
+ranks. Only the values of those ranges are ranked one by one. Everything is lazy:
+no job runs before the caller's action, and nothing is stored.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+#: Ranges a group is cut into; a range that holds a wanted rank is sorted in one task.
+RANGES = 64
 
 
-def exact_quantiles(df: DataFrame, group: str, value: str, qs: Sequence[float], prefix: str = "q") -> DataFrame:
+def exact_quantiles(df: DataFrame, group: str, value: str, qs: Sequence[float], prefix: str = "q",
+                    weight: str | None = None, ranges: int = RANGES) -> DataFrame:
     """(group, n, <prefix>0, <prefix>1, ...): quantiles ``qs`` of the non-null
-    ``value`` (a double) of each ``group`` by linear interpolation between the
-    two neighbouring ranks; ``n`` is the number of values."""
-    counts = (df.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_c")))
-    # The partition number must be the same for both readers, so it is stored.
-    rows = materialize(counts.repartitionByRange("_g", "_v").withColumn("_p", F.spark_partition_id()))
-    parts = rows.groupBy("_g", "_p").agg(F.sum("_c").alias("_s"))
-    whole = Window.partitionBy("_g")
-    before = whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = parts.select("_g", "_p", (F.sum("_s").over(before) - F.col("_s")).alias("_before"), F.sum("_s").over(whole).alias("_n"))
+    ``value`` (a double) of each non-null ``group`` by linear interpolation between
+    the two neighbouring ranks; ``n`` is the number of values.  A row counts
+    ``weight`` times (a positive integer)."""
+    one = F.lit(1) if weight is None else F.col(weight)
+    counts = (df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
+              .groupBy(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).agg(F.sum(one).alias("_c")))
+    cuts = counts.groupBy("_g").agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 4 * ranges).alias("_cuts"),
+                                    F.sum("_c").alias("_n"))
+    placed = counts.join(cuts, "_g").withColumn("_p", _range(F.col("_cuts"), F.col("_v"))).drop("_cuts")
+    parts = placed.groupBy("_g", "_p").agg(F.sum("_c").alias("_s"), F.max("_n").alias("_n"))
+    before = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    ranks = [(f"_{side}{i}", op((F.col("_n") - 1) * F.lit(float(q)))) for i, q in enumerate(qs) for side, op in (("lo", F.floor), ("hi", F.ceil))]
+    held = F.lit(False)
+    for _, rank in ranks:
+        held = held | ((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_s")))
+    wanted = parts.filter(held).select("_g", "_p", "_before")
     running = Window.partitionBy("_g", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (rows.withColumn("_run", F.sum("_c").over(running)).join(parts, ["_g", "_p"])
-              .select("_g", "_v", "_n", (F.col("_before") + F.col("_run")).alias("_end"), "_c"))
-    picks = []
-    for i, q in enumerate(qs):
-        at = (F.col("_n") - 1) * F.lit(float(q))
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            holds = (rank < F.col("_end")) & (rank >= F.col("_end") - F.col("_c"))
-            picks.append(F.max(F.when(holds, F.col("_v"))).alias(f"_{side}{i}"))
+    ranked = placed.join(wanted, ["_g", "_p"]).withColumn("_end", F.col("_before") + F.sum("_c").over(running))
+    picks = [F.max(F.when((rank < F.col("_end")) & (rank >= F.col("_end") - F.col("_c")), F.col("_v"))).alias(name) for name, rank in ranks]
     found = ranked.groupBy("_g").agg(F.max("_n").alias("n"), *picks)
     out = []
     for i, q in enumerate(qs):
@@ -47,3 +51,7 @@ def exact_quantiles(df: DataFrame, group: str, value: str, qs: Sequence[float],
                    .otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias(f"{prefix}{i}"))
     return found.select(F.col("_g").alias(group), "n", *out)
 
+
+def _range(cuts: Column, value: Column) -> Column:
+    """The number of cut points below the value: equal values share a range."""
+    return F.aggregate(cuts, F.lit(0), lambda n, c: n + F.when(c < value, 1).otherwise(0))

@@ -165,8 +165,8 @@ def test_upsert_last_writer_wins(spark, tmp_path):
     p1 = sinks.upsert_to_path(spark, None, old, ["g", "metric"], str(tmp_path))
     p2 = sinks.upsert_to_path(spark, p1, new, ["g", "metric"], str(tmp_path))
     p3 = sinks.upsert_to_path(spark, p2, new, ["g", "metric"], str(tmp_path))
-    assert p1 != p2 and spark.read.parquet(p3).count() == 2  # idempotent, old version kept
-    assert spark.read.parquet(p1).count() == 2
+    assert p1 != p2 and sinks.read_version(spark, p3).count() == 2  # idempotent, old version kept
+    assert sinks.read_version(spark, p1).count() == 2
 
 
 def test_split_valid_reviews(spark, tmp_path):
