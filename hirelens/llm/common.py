@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from ..sources.tables import read_columns, read_table
 
-__all__ = ["SPACE", "WORD", "column", "crc_mod", "read_columns", "read_table", "save", "text_batches"]
+__all__ = ["SPACE", "WORD", "column", "crc_mod", "free_names", "read_columns", "read_table", "release", "save", "text_batches"]
 
 #: Word and white space of the text contracts (ASCII white space only).
 SPACE = r"[\x20\x09-\x0D]+"
@@ -34,7 +34,29 @@ def save(df: DataFrame, name: str) -> DataFrame:
     back: lineage ends here and survives lost executors."""
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def release(*saved: DataFrame) -> None:
+    """Delete tables that ``save`` wrote. Only for those that nothing reads any more:
+    whatever was computed from them must be written itself."""
+    for df in saved:
+        spark, path = df.sparkSession, df._saved_at
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that do not occur in ``df`` (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], text: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:

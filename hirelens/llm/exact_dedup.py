@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, column
+from .common import SPACE, column, free_names
 
 #: Base of the packed (length, id) order; ids are shifted to 1 .. 2^64.
 _BASE = "36893488147419103232"
@@ -83,26 +83,31 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts:
     """One row per input row: id, keep_id, group_size, kept, text_sha256, length."""
     best = winners(df, id_col, text_col, salts, digest)
     rows = _rows(df, id_col, text_col, digest).select(
-        "id", "digest", "check", "length", F.sha2("norm", 256).alias("text_sha256"))
+        "id", "digest", "check", "length", F.sha2("norm", 256).alias("text_sha256"),
+        F.monotonically_increasing_id().alias("place"), F.spark_partition_id().alias("home"))
     # The third key makes both sides plain shuffles, so AQE may split a hot text's rows.
     part = (F.crc32("digest") % 64).alias("part")
     joined = rows.select("*", part).join(best.select("*", part), ["digest", "check", "part"])
-    # Only rows that repeat id and text compete here, so no group is hot.
-    turn = F.row_number().over(Window.partitionBy("id", "text_sha256").orderBy(F.col("length").desc()))
+    # Of rows that repeat id and text one stays: first per input partition, then one of
+    # those; a row that has lost is a group of its own, so no group grows with its copies.
+    first = F.row_number().over(Window.partitionBy("id", "text_sha256", "home").orderBy(F.col("length").desc()))
+    joined = joined.withColumn("lost", F.when(first > 1, F.col("place")))
+    turn = F.row_number().over(Window.partitionBy("id", "text_sha256", "lost").orderBy(F.col("length").desc()))
     keep = _unpacked_id(F.col("best"))
     return joined.select("id", keep.alias("keep_id"), F.col("n").alias("group_size"),
-                         ((turn == 1) & F.col("id").eqNullSafe(keep)).alias("kept"), "text_sha256", "length")
+                         ((turn == 1) & F.col("lost").isNull() & F.col("id").eqNullSafe(keep)).alias("kept"), "text_sha256", "length")
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
+    key, sha, size, null = free_names(df, "key_", "sha_", "size_", "null_")
     keep = (assign(df, id_col, text_col, salts).filter("kept")
-            .select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("length").alias("__len")))
+            .select(F.col("id").alias(key), F.col("text_sha256").alias(sha), F.col("length").alias(size)))
     text = column(df, text_col)
-    tagged = df.select("*", column(df, id_col).cast("bigint").alias("__id"), F.sha2(normalise(text), 256).alias("__sha"),
-                       F.coalesce(F.length(text), F.lit(0)).alias("__len"))
+    tagged = df.select("*", column(df, id_col).cast("bigint").alias(key), F.sha2(normalise(text), 256).alias(sha),
+                       F.coalesce(F.length(text), F.lit(0)).alias(size))
     # A null id must match itself; a flag and a filler keep this an equi-join.
-    filled = lambda d: d.withColumn("__null", F.col("__id").isNull()).withColumn("__id", F.coalesce("__id", F.lit(0)))
-    on = ["__id", "__null", "__sha", "__len"]
+    filled = lambda d: d.withColumn(null, F.col(key).isNull()).withColumn(key, F.coalesce(key, F.lit(0)))
+    on = [key, null, sha, size]
     return filled(tagged).join(filled(keep), on, "left_semi").dropDuplicates(on).select(
         *["`" + c.replace("`", "``") + "`" for c in df.columns])

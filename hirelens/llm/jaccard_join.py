@@ -14,7 +14,8 @@ adds its repeated shingles to. The order only decides how long lists get; any or
 gives the same links.
 
 Near copies would give all pairs of a list. Instead
-1. equal sets are one class (sid, hash of the set); batches send a class once;
+1. equal sets are one class (sid, from a 128-bit hash of the set); batches send a
+   class once;
 2. in each list the member found in most lists for its size is the pivot; each class
    is checked against the pivot it shares most lists with, then (in lists that still
    hold several components) against its best neighbour by size. Pairs that a parity
@@ -50,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, save, text_batches
+from .common import column, free_names, release, save, text_batches
 from .components import components
 from .words import Rolling, WordHashes, mixed
 
@@ -86,8 +87,23 @@ class Sets:
         return out
 
 
-def sid(s: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) if len(s) else 0
+def sid(s: np.ndarray) -> tuple[int, int]:
+    """The two halves of the set's 128-bit hash; the first names its class."""
+    whole = xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else 0
+    return tuple(int(np.uint64(x).view(np.int64)) for x in (whole & 0xFFFFFFFFFFFFFFFF, whole >> 64))
+
+
+def _apart(signed: DataFrame) -> DataFrame:
+    """``signed`` with classes whose sets agree in the first half of the hash only
+    renamed by both halves, so that different sets never are one class."""
+    clash = (signed.filter("sid is not null").groupBy("sid").agg(F.min("check").alias("x"), F.max("check").alias("y"))
+             .filter("x <> y").select("sid", F.lit(True).alias("clash")))
+    if not clash.limit(1).count():
+        return signed
+    own = F.when(F.col("clash"), F.xxhash64("sid", "check")).otherwise(F.col("sid"))
+    out = save(signed.join(clash, "sid", "left").withColumn("sid", own).select(*signed.columns), "signatures")
+    release(signed)
+    return out
 
 
 def _ceil(a: int, b: int) -> int:
@@ -173,14 +189,14 @@ def _heat(words: int):
 
 
 def _signatures(words: int, heat: bytes, light: int):
-    """(id, row, text) -> (id, row, n, sid, lead, bits, subsets, tokens, n_index);
+    """(id, row, text) -> (id, row, n, sid, check, lead, bits, subsets, tokens, n_index);
     only the first of equal sets in a batch leads, with bits and list keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, hot = Sets(words), np.frombuffer(heat, dtype=np.uint8)
         none = np.zeros(0, np.uint64)
         for batch in text_batches(batches, "text", PIECE):
-            seen: set[int] = set()
+            seen: set[tuple[int, int]] = set()
             n, own, bits, pairs, tokens, index = [], [], [], [], [], []
             for s in sets.of(batch.column("text")):
                 n.append(len(s))
@@ -209,9 +225,9 @@ def _signatures(words: int, heat: bytes, light: int):
                 return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([none, *rows]).view(np.int64)))
 
             yield pa.record_batch([
-                batch.column("id"), batch.column("row"), pa.array(n, pa.int32()), pa.array([o if k else None for o, k in zip(own, n)], pa.int64()),
+                batch.column("id"), batch.column("row"), pa.array(n, pa.int32()), *(pa.array([o[h] if k else None for o, k in zip(own, n)], pa.int64()) for h in (0, 1)),
                 pa.array([b is not None for b in bits]), pa.array(bits, pa.binary()), lists(pairs), lists(tokens), pa.array(index, pa.int32())],
-                ["id", "row", "n", "sid", "lead", "bits", "subsets", "tokens", "n_index"])
+                ["id", "row", "n", "sid", "check", "lead", "bits", "subsets", "tokens", "n_index"])
 
     return run
 
@@ -362,8 +378,10 @@ def _check(pairs: DataFrame, stands: DataFrame, texts: DataFrame, words: int) ->
              .select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text"))
     members = (pairs.join(salts, "a").join(own, F.col("b") == F.col("sid"))
                .select("a", F.pmod(F.hash("b"), F.col("salts")).alias("salt"), "b", "text"))
-    return save(heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
-                .select("a", "b", "text").mapInArrow(_linked(words), "a long, b long"), "links")
+    out = save(heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
+               .select("a", "b", "text").mapInArrow(_linked(words), "a long, b long"), "links")
+    release(pairs, own)
+    return out
 
 
 def _labelled(members: DataFrame, key: str, found: DataFrame, name: str) -> DataFrame:
@@ -413,9 +431,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     heat[keys[kinds == 0]] = np.log2(n[kinds == 0]).astype(np.uint8) + 1
     light = boundary(dict(zip(keys[kinds == 1].tolist(), n[kinds == 1].tolist())), scan_cost)
 
-    signed = save(base.select("id", "row", "text").mapInArrow(
+    signed = _apart(save(base.select("id", "row", "text").mapInArrow(
         _signatures(words, heat.tobytes(), light),
-        f"id {kind}, row long, n int, sid long, lead boolean, bits binary, subsets array<long>, tokens array<long>, n_index int"), "signatures")
+        f"id {kind}, row long, n int, sid long, check long, lead boolean, bits binary, subsets array<long>, tokens array<long>, n_index int"), "signatures"))
     size = F.col("n").cast("long") * 4
     role = F.when(F.col("n") <= light, 2).otherwise(F.when(F.col("at") < F.col("n_index"), 3).otherwise(1))
     postings = (signed.select("sid", size.alias("info"), F.explode("subsets").alias("key"))
@@ -429,6 +447,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
               .join(members.select("sid").distinct(), "sid", "left_semi"))
     bits = save(signed.filter("lead").select("row", "n", "bits").join(stands, "row").select("sid", "row", "n", "bits"), "bits")
     texts = base.select("row", "text")
+    # The heavy columns are spent; every table goes as soon as nothing reads it.
+    rows = save(signed.select("id", "row", "n", "sid"), "rows")
+    release(signed)
 
     degree = members.groupBy("sid").agg((F.count("*") / F.first("info")).alias("degree"))
     ranked = members.join(degree, "sid")
@@ -438,29 +459,31 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
             .filter((F.col("sid") != F.col("p.sid")) & (4 * F.least(n, m) >= 3 * F.greatest(n, m)))
             .groupBy(F.col("p.sid").alias("a"), F.col("sid").alias("b")).agg(F.count("*").alias("shared")))
     links = _check(_best(star, bits), bits, texts, words)
-    found = save(components(links), "components")
+    found = components(links)
 
     listed = _labelled(members, "sid", found, "component").select("key", "sid", "info", "component")
     beside = (listed.repartition("key").sortWithinPartitions("key", "info", "sid").mapInArrow(_neighbours, "a long, b long")
               .groupBy("a", "b").agg(F.count("*").alias("shared")))
     links = links.unionByName(_check(_best(beside, bits), bits, texts, words))
-    found = save(components(links), "components")
+    release(found)
+    found = components(links)
 
     listed = _labelled(members, "sid", found, "component")
     several = (listed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("length")).filter("x <> y")
                .join(pivots, "key").select("key", "part", "length", F.col("p.sid").alias("pivot")))
     held = save(listed.withColumn("part", F.col("key") % 64).join(several, ["key", "part"])
                 .select("pivot", F.col("key").alias("list"), "sid", "info", "component", "length"), "open")
+    release(members, found)
     dealt = _dealt(held)
     none = F.lit(None).cast("long")
     maps = (dealt.select("pivot", "salt", "sid").distinct().join(bits.select("sid", "bits"), "sid")
             .select("pivot", "salt", none.alias("list"), "sid", none.alias("info"), none.alias("component"), none.alias("block"), "bits"))
-    rows = dealt.select("pivot", "salt", "list", "sid", "info", "component", "block", F.lit(None).cast("binary").alias("bits"))
-    left = (maps.unionByName(rows).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "list", "info", "sid")
+    listed = dealt.select("pivot", "salt", "list", "sid", "info", "component", "block", F.lit(None).cast("binary").alias("bits"))
+    left = (maps.unionByName(listed).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "list", "info", "sid")
             .mapInArrow(_open_pairs, "a long, b long").distinct())
     links = links.unionByName(_check(left, bits, texts, words))
-    found = save(components(links), "components")
-    return _labelled(signed.select("id", "row", "n", "sid"), "sid", found, "component"), links
+    release(held, bits)
+    return _labelled(rows, "sid", components(links), "component"), links
 
 
 def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, scan_cost: float = 4.0) -> DataFrame:
@@ -482,5 +505,6 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     order = F.struct(F.col("id").isNull().alias("x"), "id", "row")
     stay = (docs.filter("component is not null").groupBy("component").agg(F.min(order).alias("least")).select("least.row")
             .unionByName(docs.filter("component is null").select("row")))
-    return (df.withColumn("__row", F.monotonically_increasing_id())
-            .join(stay.select(F.col("row").alias("__row")), "__row", "left_semi").drop("__row"))
+    (own,) = free_names(df, "row")
+    return (df.withColumn(own, F.monotonically_increasing_id())
+            .join(stay.select(F.col("row").alias(own)), own, "left_semi").drop(own))

@@ -4,11 +4,22 @@ Features are hashed character n-grams (orders 1 to 3; lower case, every characte
 that is no letter counts as a space, two spaces around the text) weighted by
 TF-IDF: relative frequency in the text times ``log((1 + N) / (1 + df))``, with
 document frequencies over *all* training documents. Weights are fitted by
-follow-the-regularised-leader with elastic-net penalties on a bounded sample: at
-most about ``per_language`` documents of each of the ``max_languages`` most frequent
-languages, drawn by a hash of the id. A fifth of the sample is held back to choose
-the temperature that divides the logits. The driver holds the sample's features and
-a table of ``DIM`` rows; texts are only read by tasks.
+follow-the-regularised-leader with elastic-net penalties on a bounded sample of
+labelled rows: about ``per_language`` of each language and ``rows`` in all, shared by
+however many languages there are, so every label that occurs is learned. Rows are
+drawn by a hash of id, text and place. Languages are sampled at different rates; the
+logarithm of a language's rate is added to its logit while fitting and the held-back
+rows weigh by its inverse, so the model keeps the languages' odds of the whole table.
+
+A fifth of the sample is held back to choose the temperature that divides the
+logits, against labels smoothed by ``SMOOTH``: however well the held-back rows are
+told apart, scores stay short of 1, and a text without evidence stays near the odds
+of the languages. ``Model.cut`` is the score below which a text is held to be in no
+learned language: at most 1/2, and less if more than ``FALSE_REJECTS`` of the held-back
+rows would fall below.
+
+The driver holds the sample's features and a table of at most ``CELLS`` weights: with
+more than 256 languages, n-grams share fewer buckets. Texts are only read by tasks.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; rows with
 a null language or null text are not learned from; with nothing to learn from every
@@ -33,6 +44,12 @@ ORDERS = (1, 2, 3)
 #: Brings relative frequencies to the scale of the learning rate.
 SCALE = 100.0
 PIECE = 4_000_000
+#: Weights the driver holds at most (buckets times languages).
+CELLS = 1 << 24
+#: Share of a label's probability that calibration spreads over all languages.
+SMOOTH = 0.02
+#: Share of labelled rows that ``Model.cut`` may fall below.
+FALSE_REJECTS = 0.002
 
 
 class Grams:
@@ -64,9 +81,10 @@ class Grams:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # DIM x languages: idf * weight
+    table: np.ndarray  # buckets x languages: idf * weight
     bias: np.ndarray
     temperature: float
+    cut: float = 0.0
 
 
 def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,13 +119,19 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _temperature(logits: np.ndarray, truth: np.ndarray) -> float:
-    """The divisor of the logits with the least log loss, by golden section on its log."""
+def _temperature(logits: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> float:
+    """The divisor of the logits with the least log loss against smoothed labels, by
+    golden section on its log."""
     if not len(truth):
         return 1.0
+    target = np.full(logits.shape, SMOOTH / logits.shape[1])
+    target[np.arange(len(truth)), truth] += 1 - SMOOTH
 
     def loss(t: float) -> float:
-        return -float(np.log(_softmax(logits / np.exp(t))[np.arange(len(truth)), truth] + 1e-12).mean())
+        z = logits / np.exp(t)
+        z = z - z.max(axis=1, keepdims=True)
+        log_p = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return -float((weight * (target * log_p).sum(axis=1)).sum())
 
     low, high, ratio = -4.0, 3.0, (np.sqrt(5.0) - 1) / 2
     for _ in range(40):
@@ -117,26 +141,29 @@ def _temperature(logits: np.ndarray, truth: np.ndarray) -> float:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500,
-          max_languages: int = 256, epochs: int = 3, alpha: float = 0.3, l1: float = 0.02, l2: float = 0.5) -> Model:
-    """Fit a model on the rows of ``df`` that have a language and a text."""
-    rows = df.select(column(df, id_col).cast("string").alias("id"), column(df, text_col).alias("text"),
-                     column(df, lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+          rows: int = 24_000, epochs: int = 3, alpha: float = 0.3, l1: float = 0.02, l2: float = 0.5) -> Model:
+    """Fit a model on the rows of ``df`` that have a language and a text. The driver
+    sees one row per language, the sample's features and the buckets' counts."""
+    labelled = df.select(column(df, id_col).cast("string").alias("id"), column(df, text_col).alias("text"),
+                         column(df, lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
+    counts = labelled.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in counts)
     empty = Model([], np.zeros((DIM, 0)), np.zeros(0), 1.0)
     if not languages:
         return empty
-    frequency = rows.select("text").mapInArrow(_document_frequency, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    fold = max(0, (DIM * len(languages) - 1).bit_length() - (CELLS - 1).bit_length())
+    dim = DIM >> fold
+    frequency = labelled.select("text").mapInArrow(_document_frequency, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     bucket, n = frequency.column("bucket").to_numpy(), frequency.column("n").to_numpy()
-    total, seen = int(n[bucket < 0].sum()), np.zeros(DIM)
-    seen[bucket[bucket >= 0]] = n[bucket >= 0]
-    idf = np.log((1 + total) / (1 + seen))
-
-    draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
-    rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col("lang") == r["lang"], min(1.0, per_language / r["count"])).otherwise(rate)
-    sample = (rows.filter(draw < rate).select("text", "lang", F.xxhash64("id", F.lit("turn"), "text").alias("turn"))
+    total, seen = int(n[bucket < 0].sum()), np.zeros(dim)
+    np.add.at(seen, bucket[bucket >= 0] >> fold, n[bucket >= 0])
+    idf = np.log((1 + total) / (1 + np.minimum(seen, total)))
+
+    share = min(per_language, -(-rows // len(languages)))
+    rates = {r["lang"]: min(1.0, share / r["count"]) for r in counts}
+    draw = F.pmod(F.xxhash64("id", "text", F.monotonically_increasing_id(), F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
+    rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col("lang")]
+    sample = (labelled.filter(draw < rate).select("text", "lang", F.xxhash64("id", F.lit("turn"), "text").alias("turn"))
               .mapInArrow(_features, "lang string, turn long, letters boolean, bucket array<int>, n array<int>").filter("letters").toArrow())
     place = {name: i for i, name in enumerate(languages)}
     order = np.argsort(sample.column("turn").to_numpy(), kind="stable").tolist()
@@ -144,41 +171,66 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     which, times = sample.column("bucket").combine_chunks(), sample.column("n").combine_chunks()
 
     def example(i: int) -> tuple[np.ndarray, np.ndarray]:
-        at, t = which[i].values.to_numpy(), times[i].values.to_numpy().astype(np.float64)
+        at, t = which[i].values.to_numpy() >> fold, times[i].values.to_numpy().astype(np.float64)
+        if fold:
+            at, where = np.unique(at, return_inverse=True)
+            t = np.bincount(where, weights=t)
         return at, t / t.sum() * idf[at] * SCALE
 
     held = order[::5] if len(order) >= 50 else []
     fit = [i for i in order if i not in set(held)]
-    model, bias = Ftrl((DIM, len(languages)), alpha, l1, l2), Ftrl((1, len(languages)), alpha, 0.0, 0.0)
+    model, bias = Ftrl((dim, len(languages)), alpha, l1, l2), Ftrl((1, len(languages)), alpha, 0.0, 0.0)
+    sampled = np.log([rates[name] for name in languages])
     for _ in range(epochs):
         for i in fit:
             at, x = example(i)
             w, b = model.weights(at), bias.weights()
-            p = _softmax(x @ w + b[0])
+            p = _softmax(x @ w + b[0] + sampled)
             p[label[i]] -= 1.0
             model.update(at, w, x[:, None] * p)
             bias.update(slice(None), b, p[None, :])
     weights, b = model.weights(), bias.weights()[0]
     logits = np.array([x @ weights[at] + b for at, x in map(example, held)]).reshape(len(held), len(languages))
-    return Model(languages, idf[:, None] * weights * SCALE, b, _temperature(logits, np.array([label[i] for i in held], dtype=int)))
+    truth = np.array([label[i] for i in held], dtype=int)
+    weight = np.exp(-sampled[truth])
+    out = Model(languages, idf[:, None] * weights * SCALE, b, _temperature(logits, truth, weight))
+    if held:
+        score = _softmax(logits / out.temperature).max(axis=1)
+        order = np.argsort(score, kind="stable")
+        below = np.cumsum(weight[order]) <= FALSE_REJECTS * weight.sum()
+        out.cut = float(min(0.5, score[order][below.sum()]))
+    return out
+
+
+class Scorer:
+    """Best language and its probability of each text; score 0 without a letter."""
+
+    def __init__(self, model: Model):
+        self.model, self.grams = model, Grams()
+        self.fold = (DIM // max(1, len(model.table))).bit_length() - 1
+        self.columns = [np.ascontiguousarray(model.table[:, k]) for k in range(len(model.languages))]
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        model = self.model
+        buckets, begin, letters = self.grams(texts)
+        if not model.languages:
+            letters[:] = False
+            return np.zeros(len(letters), int), np.zeros(len(letters)), letters
+        if self.fold:
+            buckets = [row >> self.fold for row in buckets]
+        size = np.diff(np.append(begin, len(buckets[0])))[:, None] * len(ORDERS)
+        sums = np.stack([sum(np.add.reduceat(c[row], begin) for row in buckets) for c in self.columns], axis=1)
+        p = _softmax((sums / size + model.bias) / model.temperature)
+        return p.argmax(axis=1), np.where(letters, p.max(axis=1), 0.0), letters
 
 
 def _predictor(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams()
-        columns = [np.ascontiguousarray(model.table[:, k]) for k in range(len(model.languages))]
+        scored = Scorer(model)
         for batch in text_batches(batches, "text", PIECE):
-            buckets, begin, letters = grams(batch.column("text").to_pylist())
-            if not model.languages:
-                letters[:] = False
-                best, score = np.zeros(len(letters), int), np.zeros(len(letters))
-            else:
-                size = np.diff(np.append(begin, len(buckets[0])))[:, None] * len(ORDERS)
-                sums = np.stack([sum(np.add.reduceat(c[row], begin) for row in buckets) for c in columns], axis=1)
-                p = _softmax((sums / size + model.bias) / model.temperature)
-                best, score = p.argmax(axis=1), p.max(axis=1)
+            best, score, letters = scored(batch.column("text").to_pylist())
             lang = [model.languages[i] if ok else "und" for i, ok in zip(best.tolist(), letters.tolist())]
-            yield pa.record_batch([batch.column("id"), pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64())],
+            yield pa.record_batch([batch.column("id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                                   ["id", "lang_pred", "score"])
 
     return run
@@ -191,3 +243,18 @@ def predict(df: DataFrame, model: Model, id_col: Column | str = "doc_id", text_c
     rows = df.select(key, column(df, text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_predictor(model), f"id {kind}, lang_pred string, score double")
+
+
+def keep(df: DataFrame, model: Model, text_col: str = "text", least: float | None = None) -> DataFrame:
+    """The rows of ``df``, with all their columns, whose text has a letter and a score
+    of at least ``least`` (the model's cut). One pass over the rows, no shuffle."""
+    least, at = model.cut if least is None else least, df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scored = Scorer(model)
+        for batch in text_batches(batches, f"c{at}", PIECE):
+            _, score, letters = scored(batch.column(at).to_pylist())
+            yield batch.filter(pa.array(letters & (score >= least)))
+
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)

@@ -24,7 +24,15 @@ PLAIN = r"\x00-\x1b\x20-ȶЁ-҆Ҋ-ԓ‐-‧‰-⁞₠-₱一-龥"
 _STRANGE = re.compile(f"[^{PLAIN}]")
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 #: Distinct pieces remembered by one task.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The sign that stands for each byte in the vocabulary: printable ones for
+    themselves, the others for the code points from 256 on, in order."""
+    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in kept]
+    return {b: chr(256 + rest.index(b)) if b in rest else chr(b) for b in range(256)}
 
 
 def _classes() -> np.ndarray:
@@ -86,32 +94,48 @@ class Encoder:
                       and not before.get("add_prefix_space"))
         marks = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = re.compile("|".join(marks)) if marks else None
-        self.classes = _classes()
+        self.classes, self.letters = _classes(), _byte_letters()
         self.known: dict[str, int] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.known.clear()
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.size, self.seen = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def _shrink(self) -> None:
+        """Keep the half that most batches held (a piece of one batch is not likely
+        to come again)."""
+        n = len(self.known)
+        often = np.argsort(-self.seen[:n], kind="stable")[: REMEMBERED // 2]
+        often = np.sort(often[self.seen[often] > 1])
+        names = list(self.known)
+        size = self.size[often]
+        ends = np.cumsum(size)
+        pool = self.pool[np.repeat(self.start[often] - (ends - size), size) + np.arange(int(size.sum()))]
+        seen = self.seen[often]
+        self.known = {names[i]: k for k, i in enumerate(often.tolist())}
+        self.pool, self.used, self.start, self.size, self.seen = pool, len(pool), ends - size, size, seen
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """The library's ids of each text."""
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Put the ids of new pieces in the pool."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        """Put the ids of new pieces in the pool; the library's model merges them."""
+        merge, letters = self.tokenizer.model.tokenize, self.letters
+        ids = [[t.id for t in merge(p.encode().decode("latin-1").translate(letters))] for p in pieces]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         first, total = len(self.known), self.used + int(size.sum())
         if total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(total, np.uint32)])
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(total, np.uint32)])
         if first + len(pieces) > len(self.start):
             more = np.zeros(first + len(pieces), np.int64)
-            self.start, self.size = np.concatenate([self.start, more]), np.concatenate([self.size, more])
+            self.start, self.size, self.seen = (np.concatenate([x[:first], more]) for x in (self.start, self.size, self.seen))
         self.pool[self.used : total] = np.fromiter(chain.from_iterable(ids), np.uint32, total - self.used)
         self.start[first : first + len(pieces)] = self.used + np.cumsum(size) - size
         self.size[first : first + len(pieces)] = size
+        self.seen[first : first + len(pieces)] = 0
         self.used = total
         self.known.update(zip(pieces, range(first, first + len(pieces))))
 
@@ -130,12 +154,14 @@ class Encoder:
         raw = joined.encode()
         found = pa.StringArray.from_buffers(len(first), pa.py_buffer(place.tobytes()), pa.py_buffer(raw)).dictionary_encode()
         pieces = found.dictionary.to_pylist()
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self._forget()
+        if len(self.known) > REMEMBERED:
+            self._shrink()
         new = [p for p in pieces if p not in self.known]
         if new:
             self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[found.indices.to_numpy()]
+        held = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        self.seen[held] += 1
+        at = held[found.indices.to_numpy()]
         size = self.size[at]
         ends = np.cumsum(size)
         ids = self.pool[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1])]

@@ -111,7 +111,7 @@ def _bucket(name: str) -> int:
 
 
 def _shape(token: str) -> str:
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", token[:64])))
+    return re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", token)))
 
 
 def graph(text: str, spans: list[tuple[int, int, int]]) -> Graph | None:
@@ -134,8 +134,8 @@ def graph(text: str, spans: list[tuple[int, int, int]]) -> Graph | None:
         nodes.append((i, a, a + len(core)))
         features.append([_bucket(x) for x in (
             "bias", "shape " + _shape(core), f"digits {min(len(digits), 24)}", f"checks {checks}", f"letters {min(len(alnum) - len(digits), 12)}",
-            "before " + (words[i - 1][1].lower()[:64] if i else ""), "after " + (words[i + 1][1].lower()[:64] if i + 1 < len(words) else ""),
-            f"plus {word.startswith('+')} {'@' in core} {core.count('.')}"[:64])])
+            "before " + (words[i - 1][1].lower() if i else ""), "after " + (words[i + 1][1].lower() if i + 1 < len(words) else ""),
+            f"plus {word.startswith('+')} {'@' in core} {core.count('.')}")])
         key = [("same", alnum)] if len(alnum) >= 6 else []
         if len(digits) >= 7 and len(digits) * 2 > len(alnum):
             key.append(("digits", digits[-7:]))
@@ -221,7 +221,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     model = Model(np.zeros((DIM, LABELS)), 0.2 * agree, agree.copy())
     if not n:
         return model
-    draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit("pii")), F.lit(1 << 20)) / float(1 << 20)
+    draw = F.pmod(F.xxhash64("id", "text", F.monotonically_increasing_id(), F.lit("pii")), F.lit(1 << 20)) / float(1 << 20)
     found = (rows.filter(draw < min(1.0, sample / n)).select("text", F.xxhash64("id", F.lit("turn"), "text").alias("turn"))
              .mapInArrow(_graphs, "turn long, features array<int>, label array<int>, edges array<int>, skip array<int>").toArrow())
     order = np.argsort(found.column("turn").to_numpy(), kind="stable").tolist()

@@ -40,7 +40,8 @@ def op9(spark, sf_dir):
 
 @query("op6_mix_sources", r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) AS key
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3)::DOUBLE AS weight,
@@ -53,7 +54,7 @@ l AS (SELECT arg_min((total - cap_before) / (weight_all - weight_before), cap /
 t AS (SELECT source, source_size, least(weight * level, cap)::DOUBLE AS target FROM w, l),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target,
              CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-             ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 AS u
+             ('0x' || substr(md5('mix:' || key || ':' || (row_number() OVER (PARTITION BY key) - 1)::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 AS u
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken FROM r""")
 def op6(spark, sf_dir):

@@ -11,8 +11,8 @@ about ten words.
 1. anchors are counted; an anchor that occurs once holds only windows that
    occur once (this proves their count, none is left out unchecked);
 2. for the other anchors, the hashes of all their windows are counted by
-   (anchor, window hash) in Spark, for anchors that are frequent by window hash
-   alone; runs of repeated windows come back as one bit mask for each anchor;
+   (anchor, window hash) in Spark, dealt by the window hash where an anchor is
+   frequent; runs of repeated windows come back as one bit mask for each anchor;
 3. each document's masks are merged into maximal intervals, which are cut.
 
 Before either shuffle a batch settles what repeats inside itself: such places are
@@ -106,21 +106,23 @@ def anchor_rows(window: int, gram: int):
 
 
 def window_rows(window: int, gram: int, hot_rows: int = 16):
-    """Batches of (row, text, places) -> (kind, key, row, start, hashes, mask, hot).
+    """Batches of (row, text, places) -> (kind, key, anchor, row, start, hashes, mask, hot).
 
     KNOWN rows are runs of windows that repeat inside the batch, as a bit mask.
     ANCHOR rows carry the other windows of one anchor (null where known) and meet
     by anchor. An anchor met ``hot_rows`` times in the batch sends a row for each
-    WINDOW instead, which meet by window, and flags itself as hot.
+    WINDOW instead, which meet by window, and flags itself as hot. Either way
+    windows are told apart by the hashes of their anchor and of all their words,
+    128 bits together.
     """
 
-    def record(kind: int, key, row, start, offsets, values, mask, hot: bool) -> pa.RecordBatch:
+    def record(kind: int, key, anchor, row, start, offsets, values, mask, hot: bool) -> pa.RecordBatch:
         n = len(key)
         return pa.record_batch([
-            pa.array(np.full(n, kind, np.int32)), pa.array(key), row if isinstance(row, pa.Array) else pa.array(row),
+            pa.array(np.full(n, kind, np.int32)), pa.array(key), pa.array(anchor, pa.int64()) if anchor is not None else pa.nulls(n, pa.int64()), row if isinstance(row, pa.Array) else pa.array(row),
             pa.array(np.asarray(start, np.int32)), pa.ListArray.from_arrays(pa.array(np.asarray(offsets, np.int32)), values),
             pa.array(np.asarray(mask, np.int64)), pa.array(np.full(n, hot))],
-            ["kind", "key", "row", "start", "hashes", "mask", "hot"])
+            ["kind", "key", "anchor", "row", "start", "hashes", "mask", "hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _Scan(window, gram)
@@ -158,23 +160,24 @@ def window_rows(window: int, gram: int, hot_rows: int = 16):
             none = pa.array([], pa.int64())
 
             i = np.flatnonzero(mask)
-            yield record(0, _spread(row[i], start[i]), row[i], start[i], np.zeros(len(i) + 1), none, mask[i], False)
+            yield record(0, _spread(row[i], start[i]), None, row[i], start[i], np.zeros(len(i) + 1), none, mask[i], False)
             i = open_ & ~hot
             keep = np.repeat(i, size)
-            yield record(1, grams[i], row[i], start[i], np.concatenate([[0], np.cumsum(size[i])]),
+            yield record(1, grams[i], None, row[i], start[i], np.concatenate([[0], np.cumsum(size[i])]),
                          pa.array(hashes[keep], mask=known[keep]), np.zeros(int(i.sum())), False)
             i = np.repeat(hot, size) & ~known
-            yield record(2, hashes[i], np.repeat(row, size)[i], (np.repeat(start, size) + offset)[i],
+            yield record(2, hashes[i], np.repeat(grams, size)[i], np.repeat(row, size)[i], (np.repeat(start, size) + offset)[i],
                          np.arange(int(i.sum()) + 1), pa.array(hashes[i]), np.zeros(int(i.sum())), False)
             # One row speaks for each repeated window and for each hot anchor.
             voice = first[times > 1]
             run_of = np.searchsorted(begin, voice, "right") - 1
             for kind, some in ((1, ~hot[run_of]), (2, hot[run_of])):
                 v = voice[some]
-                yield record(kind, grams[run_of[some]] if kind == 1 else hashes[v], pa.nulls(len(v), pa.int64()), np.zeros(len(v)),
+                own = grams[run_of[some]]
+                yield record(kind, own if kind == 1 else hashes[v], None if kind == 1 else own, pa.nulls(len(v), pa.int64()), np.zeros(len(v)),
                              np.arange(len(v) + 1), pa.array(hashes[v]), np.zeros(len(v)), False)
             flags = grams[gram_at[gram_times >= hot_rows]]
-            yield record(1, flags, pa.nulls(len(flags), pa.int64()), np.zeros(len(flags)), np.arange(len(flags) + 1),
+            yield record(1, flags, None, pa.nulls(len(flags), pa.int64()), np.zeros(len(flags)), np.arange(len(flags) + 1),
                          pa.array(np.zeros(len(flags), np.int64)), np.zeros(len(flags)), True)
 
     return run
@@ -228,13 +231,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
               .groupBy("row").agg(F.collect_list("place").alias("places")))
     # The id goes along unread, so that this join and the last deal the texts alike, once.
     found = (base.join(places, "row").select("id", "row", "text", "places")
-             .mapInArrow(window_rows(window, gram), "kind int, key long, row long, start int, hashes array<long>, mask long, hot boolean")
+             .mapInArrow(window_rows(window, gram), "kind int, key long, anchor long, row long, start int, hashes array<long>, mask long, hot boolean")
              .repartition("key"))
-    each = (found.filter("kind > 0").select("kind", "key", "row", "start", "hot", F.posexplode("hashes").alias("offset", "hash"))
+    each = (found.filter("kind > 0").select("kind", "key", F.coalesce("anchor", "key").alias("anchor"), "row", "start", "hot", F.posexplode("hashes").alias("offset", "hash"))
             .filter("hash is not null")
             .withColumn("hot", F.max("hot").over(Window.partitionBy("key")) | (F.col("kind") == 2)))
     by_anchor = each.filter("not hot").withColumn("n", F.count("*").over(Window.partitionBy("key", "hash")))
-    by_window = each.filter("hot").withColumn("n", F.count("*").over(Window.partitionBy("hash")))
+    by_window = each.filter("hot").withColumn("n", F.count("*").over(Window.partitionBy("hash", "anchor")))
     bit = F.expr("shiftleft(1L, offset)").alias("mask")
     repeated = "n > 1 and row is not null"
     by_anchor = by_anchor.filter(repeated).groupBy("key", "row", "start").agg(F.bit_or(bit).alias("mask"))

@@ -49,7 +49,7 @@ PERCENTILE = 0.9
 #: Bytes of text of one file.
 FILE_BYTES = 64 << 20
 #: Bytes of text encoded at once.
-PIECE = 4_000_000
+PIECE = 3_000_000
 #: Id blocks decoded at once while reading.
 RUN = 256
 _MAGIC = b"PFORIDS1"

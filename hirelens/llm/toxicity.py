@@ -7,16 +7,16 @@ counts once; the document's is their noisy-or ``1 - prod(1 - p)``. Only document
 the gradient of the document's log loss reaches each sentence in proportion to its
 own probability, so weight settles on the sentences that explain the label, and
 these are then located. Weights are fitted by follow-the-regularised-leader with
-elastic-net penalties on a bounded sample of labelled rows (about ``per_label`` of each
-label, drawn by a hash of the id); every document is scored over its whole text.
+elastic-net penalties on a bounded sample of labelled rows (about ``per_label`` rows and
+``per_label_chars`` characters of each label, drawn by hashes of id and place); every document is scored over its whole text.
 Where one label is drawn at a higher rate than the other, the ratio of the rates is an
 offset of the document's logit while fitting, so scores keep to the odds of all labels.
 
 A sentence ends at a piece that ends in ``.``, ``!`` or ``?`` (symbols after it allowed).
 
 Defined cases: null and empty texts have no sentence and score 0; labels other than 0
-and 1, or null, are not learned from; a repeated or contradictory label row is one more
-example; with no label to learn from every text scores 0; other columns are not read.
+and 1, or null, are not learned from; a label row that repeats counts once, of
+contradictory ones each counts; documents that share an id share its label; with no label to learn from every text scores 0; other columns are not read.
 """
 
 from __future__ import annotations
@@ -115,19 +115,31 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          per_label: int = 8000, epochs: int = 5, alpha: float = 0.5, l1: float = 2.0, l2: float = 0.05) -> Model:
-    """Fit on the documents of ``docs`` that ``labels`` (id, label) marks 0 or 1."""
+          per_label: int = 8000, per_label_chars: int = 32_000_000, epochs: int = 5, alpha: float = 0.5, l1: float = 2.0, l2: float = 0.05) -> Model:
+    """Fit on the documents of ``docs`` that ``labels`` (id, label) marks 0 or 1.
+
+    The sample holds about ``per_label`` rows and ``per_label_chars`` characters of
+    each label (whole documents), so what the driver holds is bounded however long
+    documents are and however often an id repeats."""
     marked = labels.select(column(labels, id_col).alias("id"), column(labels, label_col).cast("int").alias("label"))
-    marked = marked.filter("id is not null and label in (0, 1)")
+    marked = marked.filter("id is not null and label in (0, 1)").distinct()
     counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     if not counts:
         return Model(np.zeros(DIM + 1), -40.0)
+
+    def by_label(low: float, high: float):
+        return F.when(F.col("label") == 1, high).otherwise(low)
+
     draw = F.pmod(F.xxhash64("id", F.lit("toxic")), F.lit(1 << 20)) / float(1 << 20)
     drawn = [min(1.0, per_label / counts.get(k, 1)) for k in (0, 1)]
-    rate, odds = F.when(F.col("label") == 1, drawn[1]).otherwise(drawn[0]), drawn[1] / drawn[0]
-    texts = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).alias("text"))
-    # At most about 2 * per_label rows, whatever the corpus.
-    sample = texts.join(F.broadcast(marked.filter(draw < rate)), "id").select("text", "label", F.xxhash64("id", F.lit("turn"), "text").alias("turn"))
+    texts = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
+    # At most about 2 * per_label ids, whatever the corpus.
+    found = texts.join(F.broadcast(marked.filter(draw < by_label(*drawn))), "id")
+    held = {r["label"]: r for r in found.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars")).collect()}
+    thin = [min(1.0, per_label / held[k]["n"], per_label_chars / max(1, held[k]["chars"])) if k in held else 1.0 for k in (0, 1)]
+    again = F.pmod(F.xxhash64("id", "place", F.lit("thin")), F.lit(1 << 20)) / float(1 << 20)
+    odds = drawn[1] * thin[1] / (drawn[0] * thin[0])
+    sample = found.filter(again < by_label(*thin)).select("text", "label", F.xxhash64("id", F.lit("turn"), "text").alias("turn"))
     bags = sample.mapInArrow(_bags, "label int, turn long, words array<long>, sizes array<int>").toArrow()
     order = np.argsort(bags.column("turn").to_numpy(), kind="stable").tolist()
     label = bags.column("label").to_pylist()

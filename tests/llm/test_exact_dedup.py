@@ -55,3 +55,17 @@ def test_no_python_in_the_plan(frame):
 
 def test_empty(frame):
     assert exact_dedup.assign(frame([])).count() == 0 and exact_dedup.dedup(frame([])).count() == 0
+
+
+def test_many_rows_without_an_id(frame):
+    rows = [(None, "same  text", "s")] * 500 + [(None, "sametext ", "s")] * 40 + [(3, "sametext", "s")]
+    got = exact_dedup.assign(frame(rows).repartition(5)).collect()
+    assert len(got) == 541 and sum(r.kept for r in got) == 1
+    assert {(r.group_size, r.keep_id) for r in got} == {(541, None)} and [r.length for r in got if r.kept] == [10]
+
+
+def test_names_of_the_table_may_be_any(spark):
+    df = spark.createDataFrame([(i % 3 or None, "a b" if i < 6 else f"t{i}", 1, 2, 3, 4) for i in range(9)],
+                               "doc_id long, text string, key_ int, SHA_ int, `__id` int, null_ int")
+    out = exact_dedup.dedup(df)
+    assert out.columns == df.columns and out.count() == 4

@@ -156,3 +156,42 @@ def test_blocks_of_long_lists_match_brute_force(frame, monkeypatch):
     df = save(frame([(i, t, "s") for i, t in enumerate(texts)]).repartition(3), "docs")
     want = brute(list(range(len(texts))), texts)
     assert {r.id: r.component_id for r in J.assign(df).collect()} == {i: c if n else i for i, (n, c) in enumerate(want)}
+
+
+def test_words_that_polynomials_mix_up_are_told_apart(frame):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), word.upper(), "x " * 30 + word]
+    df = save(frame([(i, t, "s") for i, t in enumerate(texts)]), "docs")
+    got = {r.id: (r.n, r.component_id) for r in J.assign(df).collect()}
+    assert [got[i] for i in range(4)] == brute(range(4), texts) and got[1][1] == 1
+
+
+def test_sets_with_half_a_hash_in_common_stay_apart(frame, monkeypatch):
+    whole = J.sid
+
+    def half(s):  # every set of one shingle falls on one class name
+        return (7, whole(s)[1]) if len(s) == 1 else whole(s)
+
+    monkeypatch.setattr(J, "sid", half)
+    texts = ["a b c d e", "f g h i j", "a b c d e", "k l", None, "a b c d e f g"]
+    df = save(frame([(i, t, "s") for i, t in enumerate(texts)]), "docs")
+    got = {r.id: (r.n, r.component_id) for r in J.assign(df).collect()}
+    assert [got[i] for i in range(6)] == brute(range(6), texts)
+
+
+def test_very_long_texts(frame):
+    rnd = random.Random(12)
+    base = [str(rnd.randrange(10**6)) for _ in range(120_000)]
+    near = list(base)
+    for i in range(0, 120_000, 500):
+        near[i] = "other"
+    texts = [" ".join(base), " ".join(near), " ".join(base[:60_000]), "z " * 100_000]
+    df = save(frame([(i, t, "s") for i, t in enumerate(texts)]), "docs")
+    got = {r.id: (r.n, r.component_id) for r in J.assign(df).collect()}
+    assert [got[i] for i in range(4)] == brute(range(4), texts) and got[1][1] == 0
+
+
+def test_dedup_keeps_columns_of_any_name(spark):
+    df = save(spark.createDataFrame([(i, "a b c d e f g" if i < 3 else f"t{i}", 5, "r") for i in range(6)], "doc_id long, text string, row long, `ROW_` string"), "docs")
+    out = J.dedup(df)
+    assert out.columns == df.columns and sorted(tuple(r) for r in out.collect()) == [(i, "a b c d e f g" if i < 3 else f"t{i}", 5, "r") for i in (0, 3, 4, 5)]

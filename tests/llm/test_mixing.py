@@ -1,6 +1,7 @@
 import pytest
 
 from hirelens.llm import mixing
+from hirelens.llm.common import save
 
 
 def water(sizes, cap=3.0):
@@ -36,7 +37,8 @@ def test_targets_copies_and_reruns(frame):
     assert taken["b"] == pytest.approx(want["b"], rel=0.15)
     assert taken["a"] == want["a"] == 30  # three times its size
     again = mixing.plan(df.repartition(7))
-    assert sorted(map(str, again.collect())) == sorted(map(str, got))
+    plain = lambda rs: sorted(str((r.id, r.source, r.size, r.copies)) for r in rs)
+    assert plain(again.collect()) == plain(got)
 
 
 def test_mix_emits_the_planned_copies(frame):
@@ -54,3 +56,23 @@ def test_empty_and_single_source(frame):
     assert mixing.plan(frame([])).count() == 0 and mixing.mix(frame([])).count() == 0
     one = mixing.plan(frame([(1, "a b c", "s")])).collect()[0]
     assert one.target == 3.0 and one.copies == 1
+
+
+def test_rows_alike_are_drawn_one_by_one(frame):
+    rows = [(None, "w x y", "hot") for _ in range(3000)] + [(i, "a b c d e f " * 9, "cold") for i in range(250)] + [(7, None, "hot")] * 50
+    df = save(frame(rows).repartition(6), "docs")
+    got = mixing.plan(df).collect()
+    for source in ("hot", "cold"):
+        own = [r for r in got if r.source == source]
+        assert 0 < own[0].rate % 1 and sum(r.copies * r.size for r in own) == pytest.approx(own[0].target, rel=0.05)
+    again = sorted(str((r.id, r.source, r.copies)) for r in mixing.plan(df).collect())
+    assert again == sorted(str((r.id, r.source, r.copies)) for r in got)
+    assert mixing.mix(df).count() == sum(r.copies for r in got)
+
+
+def test_names_of_the_table_may_be_any(spark):
+    names = ["source_", "NULL_", "rate_", "key_", "place_", "number_", "copy_", "__source"]
+    df = spark.createDataFrame([(i, "a b", "s" if i % 2 else None, *range(8)) for i in range(20)],
+                               "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    out = mixing.mix(df)
+    assert out.columns == df.columns and {tuple(r)[3:] for r in out.collect()} == {tuple(range(8))}

@@ -48,3 +48,27 @@ def test_null_ids_and_empty(frame):
     df = save(frame([(None, "a b", "s"), (None, None, "s")]), "docs")
     assert sorted((r.id, r.n_words) for r in substring_dedup.remove_repeats(df).collect()) == [(None, 0), (None, 2)]
     assert substring_dedup.remove_repeats(frame([])).count() == 0
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_polynomials_mix_up_are_told_apart(frame):
+    # such twins agree in every polynomial modulo 2^64
+    word = thue_morse(2048)
+    twin = word.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(34))
+    texts = [f"{rest} {word}", f"{rest} {twin}", f"{word} {word}"]
+    df = save(frame([(i, t, "s") for i, t in enumerate(texts)]), "docs")
+    got = {r.id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(df).collect()}
+    assert [got[i] for i in range(3)] == brute(texts, 35) and all(got[i][1] == 0 for i in range(3))
+
+
+def test_very_long_texts(frame):
+    rnd = random.Random(11)
+    long = [str(rnd.randrange(10**6)) for _ in range(150_000)]
+    texts = [" ".join(long), " ".join(long[70_000:70_050] + ["end"]), "y " * 90_000]
+    df = save(frame([(i, t, "s") for i, t in enumerate(texts)]), "docs")
+    got = {r.id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(df).collect()}
+    assert [got[i] for i in range(3)] == brute(texts, 35)

@@ -78,3 +78,25 @@ def test_the_odds_of_all_labels_hold_whatever_the_sample(spark):
     case = spark.createDataFrame([(0, "Wordaa wordab scoundrel.")], "doc_id long, text string")
     whole, part = (toxicity.score(case, toxicity.train(df, labels, per_label=n, l1=0.5)).collect()[0].score for n in (4000, 200))
     assert 0.1 < whole < 0.4 and 0.1 < part < 0.4
+
+
+def test_the_sample_is_bounded_however_long_or_alike_documents_are(spark, monkeypatch):
+    docs, labels = corpus(300, 5)
+    docs = [(i, t + " " + " ".join(GOOD) * 250) for i, t in docs] + [(4, t) for _, t in docs[:200]]  # 20,000 words each; an id of 200 rows
+    held = []
+    real = toxicity._bags
+    monkeypatch.setattr(toxicity, "_bags", real)
+    from pyspark.sql.classic.dataframe import DataFrame
+    arrow = DataFrame.toArrow
+
+    def spy(self):
+        out = arrow(self)
+        if "words" in out.column_names:
+            held.append(sum(len(w) for w in out.column("words").to_pylist()))
+        return out
+
+    monkeypatch.setattr(DataFrame, "toArrow", spy)
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    toxicity.train(*frames, per_label_chars=2_000_000, epochs=1)
+    toxicity.train(*frames, epochs=1)
+    assert held[0] < 2 * 2_000_000 / 4 < held[1]
