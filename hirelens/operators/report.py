@@ -23,23 +23,18 @@ from pyspark.sql import functions as F
 from ..mappings import WEEKDAYS
 from .facets import _replace_whole
 
-def _none() -> Column:
-    return F.array().cast("array<struct<metric:string,key:string,w:bigint>>")
-
-
 #: Metrics cut to their most frequent keys.
 TOPS = {"top_employer": 20, "top_role": 30, "top_technology": 50, "top_city": 50}
 
 
-def _rows(metric: str, keys: Column) -> Column:
-    """Rows of one metric from an array of keys (null: none)."""
-    kept = F.filter(F.coalesce(keys, F.array().cast("array<string>")), lambda k: k.isNotNull())
-    return F.transform(kept, lambda k: F.struct(F.lit(metric).alias("metric"), k.alias("key"), F.lit(1).cast("long").alias("w")))
+def _row(metric: str, key: Column, weight: Column | int = 1) -> Column:
+    weight = F.lit(weight) if isinstance(weight, int) else weight
+    return F.struct(F.lit(metric).alias("metric"), key.cast("string").alias("key"), weight.cast("long").alias("w"))
 
 
-def _one(metric: str, key: Column, weight: Column | None = None) -> Column:
-    return F.array(F.struct(F.lit(metric).alias("metric"), key.cast("string").alias("key"),
-                            (F.lit(1) if weight is None else weight).cast("long").alias("w")))
+def _members(metric: str, keys: Column) -> Column:
+    """Rows of one metric from an array of keys (null: none)."""
+    return F.coalesce(F.transform(keys, lambda k: _row(metric, k)), F.array().cast("array<struct<metric:string,key:string,w:bigint>>"))
 
 
 def facet_counts(df: DataFrame, flags: Sequence[str], as_of, posted: str = "date_posted", expiry: str = "expiration") -> DataFrame:
@@ -50,18 +45,14 @@ def facet_counts(df: DataFrame, flags: Sequence[str], as_of, posted: str = "date
     aligned = F.when((F.size(places) == F.size(F.split("lat", ";"))) & (F.size(places) == F.size(F.split("long", ";"))), places)
     tokens = F.transform(F.split("technologies_used", "[,;]"), lambda t: F.upper(F.trim(t)))
     active = F.to_date(expiry) > F.lit(str(as_of)).cast("date")
-    rows = F.concat(
-        _one("day", F.date_format(F.to_date(posted), "yyyy-MM-dd")),
-        F.when(active, _one("kpi", F.lit("active_now"))).otherwise(_none()),
-        _rows("region_count", F.split(F.upper("region"), ";")),
-        _rows("city_count", aligned), _rows("top_city", F.split("city", ";")),
-        _rows("top_employer", F.array("employer_name")), _rows("top_role", F.array("core_role")),
-        _rows("top_technology", F.filter(tokens, lambda t: ~t.isin("", "N/A"))),
-        *[F.when(F.col(f) != 0, _one("flag_total", F.lit(f), F.col(f))).otherwise(_none())
-          for f in flags],
-        F.when(F.size(F.filter(aligned, lambda c: c.isNotNull())) > 0,
-               _one("city_share", F.lit("Others"), F.size(F.filter(aligned, lambda c: c.isNotNull()))))
-        .otherwise(_none()))
+    single = F.array(
+        _row("kpi", F.when(active, F.lit("active_now"))), _row("top_employer", F.col("employer_name")), _row("top_role", F.col("core_role")),
+        _row("city_share", F.lit("Others"), F.size(F.filter(aligned, lambda c: c.isNotNull()))),
+        *[_row("flag_total", F.lit(f), F.col(f)) for f in flags])
+    found = F.concat(single, _members("region_count", F.split(F.upper("region"), ";")), _members("city_count", aligned),
+                     _members("top_city", F.split("city", ";")), _members("top_technology", F.filter(tokens, lambda t: ~t.isin("", "N/A"))))
+    day = F.array(_row("day", F.date_format(F.to_date(posted), "yyyy-MM-dd")))  # a posting without a date counts too
+    rows = F.concat(day, F.filter(found, lambda r: r["key"].isNotNull() & (r["w"] > 0)))
     return df.select(F.explode_outer(rows).alias("r")).select("r.*").groupBy("metric", "key").agg(F.sum("w").alias("n"))
 
 

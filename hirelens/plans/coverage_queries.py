@@ -19,9 +19,16 @@ from .subscription_queries import _MATCH_CTE, DUE_MINUTE, LOOKBACK, _parsed_subs
 
 
 # ------------------------------------------------------------------- S2 / S5
-@register("staging_batch", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+_CAP = 1000  # the reader's own cap on a staging batch
+
+
+@register("staging_batch", f"""
+SELECT 'all' AS batch, o_orderkey, o_custkey, o_orderstatus FROM orders
+UNION ALL SELECT * FROM (SELECT 'capped', o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT {_CAP})""")
 def q_staging_batch(spark, sf):
-    return read_staging(read_columns(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"]), "o_orderkey")
+    orders = read_columns(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"])
+    every, capped = read_staging(orders, "o_orderkey"), read_staging(orders, "o_orderkey", _CAP)
+    return every.select(F.lit("all").alias("batch"), "*").unionByName(capped.select(F.lit("capped").alias("batch"), "*"))
 
 
 _DAY_SQL = "SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS generation_id, count(*) AS n FROM events GROUP BY 1"

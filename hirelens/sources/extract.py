@@ -174,7 +174,7 @@ def page_fields(pages: DataFrame, as_of: dt.date | str = "2024-01-02", source: s
     ordered = F.col("profile") == "ordered"
     amounts, kinds = _texts("offer_amounts"), _texts("offer_kinds")
     pairs = F.transform(amounts, lambda x, i: F.coalesce(F.get(kinds, i), F.lit("N/A")))
-    salary = (F.when(ordered & (F.size(amounts) > 0), offers_text(F.transform(amounts, F.trim), F.transform(pairs, F.trim)))
+    salary = (F.when(ordered & (F.size(amounts) > 0), offers_text(F.transform(amounts, lambda x: F.trim(x)), F.transform(pairs, lambda x: F.trim(x))))
               .when(~ordered, salary_text(_first("salary_range"), _first("salary_currency"), _first("salary_kind"))))
     single = {c: _first(c) for c in FIELDS}
     for c in ("location", "expiration", "contract_type", "experience_level"):
