@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -59,9 +60,19 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can: workers live on
+    between tasks and stages, and share their executor's limit."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], text: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that one piece holds about ``chars`` bytes of the
     column ``text`` (a single longer text is a piece of its own)."""
+    _trim()  # what the task before has left
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -73,6 +84,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], text: str, chars: int = 4_00
                 start, held = i, 0
             held += size
         yield batch.slice(start)
+    _trim()
 
 
 def shuffle_parts(spark: SparkSession) -> int:
