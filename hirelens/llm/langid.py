@@ -15,8 +15,8 @@ A fifth of the sample is held back to choose the temperature that divides the
 logits, against labels smoothed by ``SMOOTH``: however well the held-back rows are
 told apart, scores stay short of 1, and a text without evidence stays near the odds
 of the languages. ``Model.cut`` is the score below which a text is held to be in no
-learned language: at most 1/2, and less if more than ``FALSE_REJECTS`` of the held-back
-rows would fall below.
+learned language: at most half-way from an even guess to 1, and less if more than
+``FALSE_REJECTS`` of the held-back rows would fall below.
 
 The driver holds the sample's features and a table of at most ``CELLS`` weights: with
 more than 256 languages, n-grams share fewer buckets. Texts are only read by tasks.
@@ -198,7 +198,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         score = _softmax(logits / out.temperature).max(axis=1)
         order = np.argsort(score, kind="stable")
         below = np.cumsum(weight[order]) <= FALSE_REJECTS * weight.sum()
-        out.cut = float(min(0.5, score[order][below.sum()]))
+        out.cut = float(min((1 + 1 / len(languages)) / 2, score[order][below.sum()]))
     return out
 
 
