@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ranges a group is cut into; a range that holds a wanted rank is sorted in one task.
@@ -30,7 +30,7 @@ def exact_quantiles(df: DataFrame, group: str, value: str, qs: Sequence[float],
               .groupBy(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).agg(F.sum(one).alias("_c")))
     cuts = counts.groupBy("_g").agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 4 * ranges).alias("_cuts"),
                                     F.sum("_c").alias("_n"))
-    placed = counts.join(cuts, "_g").withColumn("_p", _range(F.col("_cuts"), F.col("_v"))).drop("_cuts")
+    placed = _placed(counts.join(cuts, "_g"), ranges).drop("_cuts")
     parts = placed.groupBy("_g", "_p").agg(F.sum("_c").alias("_s"), F.max("_n").alias("_n"))
     before = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0)))
@@ -52,6 +52,12 @@ def exact_quantiles(df: DataFrame, group: str, value: str, qs: Sequence[float],
     return found.select(F.col("_g").alias(group), "n", *out)
 
 
-def _range(cuts: Column, value: Column) -> Column:
-    """The number of cut points below the value: equal values share a range."""
-    return F.aggregate(cuts, F.lit(0), lambda n, c: n + F.when(c < value, 1).otherwise(0))
+def _placed(df: DataFrame, ranges: int) -> DataFrame:
+    """``df`` with ``_p``, the number of cut points ``_cuts`` (ascending, fewer than
+    ``ranges``) below the value ``_v``: equal values share a range.  Found by halving."""
+    out = df.withColumn("_p", F.lit(0))
+    step = 1 << max(ranges - 1, 1).bit_length() - 1
+    while step:
+        out = out.withColumn("_p", F.col("_p") + F.when(F.get("_cuts", F.col("_p") + (step - 1)) < F.col("_v"), step).otherwise(0))
+        step >>= 1
+    return out

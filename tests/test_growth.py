@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from hirelens.operators import enrich, filters, subscriptions
+from hirelens.operators import enrich, filters, quantiles, subscriptions
 
 POSTS = "id int, city string, region string, core_role string, employer_name string, junior int, senior int, expiration date, date_posted date, job_title string, url string"
 
@@ -66,3 +66,12 @@ def test_numbered_names_are_not_compared_in_crowds(spark):
     own = spark.createDataFrame([(n,) for n in names], "_a string")
     grams = enrich._name_grams(own, own.select(F.col("_a").alias("_b")), 3)
     assert grams[0].join(grams[1], "_g").count() <= 3 * len(names)
+
+
+def test_ranges_are_found_by_halving(spark):
+    cuts = [1.0, 2.0, 2.0, 5.0, 9.0]
+    df = spark.createDataFrame([(cuts[:k], v) for k in range(6) for v in (0.0, 1.0, 1.5, 2.0, 2.5, 5.0, 9.0, 9.5)], "_cuts array<double>, _v double")
+    for ranges in (6, 7, 9, 64):
+        placed = quantiles._placed(df, ranges)
+        assert all(r._p == sum(c < r._v for c in r._cuts) for r in placed.collect())
+    assert "aggregate(" not in placed._jdf.queryExecution().optimizedPlan().toString()
