@@ -75,3 +75,18 @@ def test_ranges_are_found_by_halving(spark):
         placed = quantiles._placed(df, ranges)
         assert all(r._p == sum(c < r._v for c in r._cuts) for r in placed.collect())
     assert "aggregate(" not in placed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ingest_queries_read_the_view_once(spark, monkeypatch):
+    from conftest import SF001
+    from hirelens.plans import io_queries
+    read = []
+    monkeypatch.setattr(io_queries.ingest, "run_ingest", lambda *a: None)
+    monkeypatch.setattr(io_queries.ingest, "process_batch", lambda s, batch, n, paths, *a: (read.append(batch), batch.write.parquet(paths["curated"])))
+    monkeypatch.setattr(io_queries, "_plain", lambda df: df)
+    monkeypatch.setattr(io_queries, "JOBS_COLUMNS", ["id"])
+    io_queries.q_incremental_ingest(spark, SF001)
+    monkeypatch.setattr(io_queries.sinks, "dual_sink", lambda df, staging, history, batch_id, **k: (
+        read.append(df), df.write.mode("overwrite").parquet(staging), df.write.mode("overwrite").parquet(f"{history}/batch_id={batch_id}")))
+    io_queries.q_dual_sink(spark, SF001)
+    assert len(read) == 4 and not any("lineitem" in f for df in read for f in df.inputFiles())
