@@ -90,3 +90,26 @@ def test_ingest_queries_read_the_view_once(spark, monkeypatch):
         read.append(df), df.write.mode("overwrite").parquet(staging), df.write.mode("overwrite").parquet(f"{history}/batch_id={batch_id}")))
     io_queries.q_dual_sink(spark, SF001)
     assert len(read) == 4 and not any("lineitem" in f for df in read for f in df.inputFiles())
+
+
+def test_bigrams_are_taken_once_and_dealt_by_the_text(spark, monkeypatch):
+    from hirelens.operators import textmine
+    rows = [(1, "alpha beta gamma alpha beta"), (1, "alpha beta"), (None, "beta gamma"), (None, "gamma delta beta gamma"), (2, ""), (3, None), (4, "delta")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    out = textmine.bigram_tfidf(df, "id", "text")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    few = {r.bigram: round(r.score, 9) for r in out.collect()}
+    monkeypatch.setattr(textmine, "DEAL_CHARS", 1)
+    assert {r.bigram: round(r.score, 9) for r in textmine.bigram_tfidf(df, "id", "text").collect()} == few
+    assert set(few) == {"alpha beta", "beta gamma", "gamma alpha", "gamma delta", "delta beta", "beta beta"} - {"beta beta"}
+    assert textmine.text_deals(10_000_000_000, 8) == 10_000_000_000 and textmine.text_deals(None, 8) == 8
+
+
+def test_tokens_and_symbols_on_odd_texts(spark):
+    import re
+    from hirelens.functions.text import remove_symbols, stop_words, tokens
+    texts = ["", " ", "  Having been  there\twith data ", "abc abcd ABCDE", "don't about\nabout about", "żółw łódź ١٢٣ a😀b 😀😀😀 😀😀😀😀", "their", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(tokens("t").alias("k"), remove_symbols("t").alias("s")).collect()
+    stops = {w for w in stop_words() if len(w) >= 4 and w.isalnum()}
+    assert [r.k for r in got] == [None if t is None else [w for w in t.lower().split(" ") if len(w) >= 4 and w not in stops] for t in texts]
+    assert [r.s for r in got] == [None if t is None else re.sub("[^a-zA-Z0-9]+", " ", t) for t in texts]
