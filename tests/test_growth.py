@@ -113,3 +113,41 @@ def test_tokens_and_symbols_on_odd_texts(spark):
     stops = {w for w in stop_words() if len(w) >= 4 and w.isalnum()}
     assert [r.k for r in got] == [None if t is None else [w for w in t.lower().split(" ") if len(w) >= 4 and w not in stops] for t in texts]
     assert [r.s for r in got] == [None if t is None else re.sub("[^a-zA-Z0-9]+", " ", t) for t in texts]
+
+
+def test_repeated_tags_of_a_page_are_read_once(monkeypatch):
+    from html import escape
+
+    from hirelens.sources import extract
+    made = []
+    monkeypatch.setattr(extract._Collector, "feed", lambda self, html: made.append(html))
+    extract._MET.clear()
+    row = "<li data-field='until'><div class=\"big value\">do &amp; {}</div><br/></li>\n"
+    page = "<ul>" + "".join(row.format(escape(str(i))) for i in range(200)) + "</ul>"
+    name, texts = extract.gather("https://labelled.jobs.example/1", page)
+    assert not made and texts["expiration"] == [f"do & {i}" for i in range(200)]
+    kept = extract._profile(name)
+    assert len(kept.tags) == 7 and len(kept.steps) <= 4
+    # what cannot be read tag by tag goes to the parser whole
+    for odd in ("<p>a < b</p>", "<!-- x --><p>y</p>", "<title>a</title>", "<script>x</script>", "<p class=\"a", "text <"):
+        extract.gather("https://labelled.jobs.example/1", odd)
+    assert len(made) == 6
+    for i in range(extract._KEPT + 10):
+        kept.tag(f"<a href='{i}'>")
+    assert len(kept.tags) <= extract._KEPT
+    extract._MET.clear()
+
+
+def test_page_reader_needs_no_package_on_workers(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    import hirelens
+    from hirelens.sources import extract
+    from pyspark import cloudpickle
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(extract.gather))
+    code = "import pickle; f = pickle.load(open('f', 'rb')); print(f('https://ordered.x/1', '<p class=fact>a</p>')[1]['facts'])"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": os.path.dirname(os.path.dirname(cloudpickle.__file__))}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert out.stdout.strip() == "['a']", (hirelens.__file__, out.stderr[-500:])
