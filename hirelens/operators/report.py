@@ -1,7 +1,10 @@
 """The daily report's facets in one pass (S16 with A1-A12).
 
-Every posting is expanded once into (metric, key) rows and one aggregate counts
-them all, partially before the shuffle: days, regions, cities, members, flags. What
+What a posting has once (flags, indicators, number of places) is added up per day, one row
+a day; what it has many of (regions, cities, technologies, its employer and role) is
+expanded into (metric, key) rows, and one aggregate counts them, partially before
+the shuffle. Neither uses lambdas, which Spark interprets row by row. A city of aligned
+lists is one row for both city metrics. What
 follows from other counts is derived from them, not counted again: months,
 weekdays, bounds and totals from the days, "Others" from the total and the top
 cities. Top lists are ranks limited per metric before rows meet (a metric
@@ -9,8 +12,11 @@ without a limit keeps one row a key and needs no rank), so no task holds all key
 metric. Salaries are counted per level and amount; ranks are running counts over the
 distinct amounts of a level.
 
+Reports of several parts of the same postings (all, those before a day) are counted
+together: a count for each part beside the key, so each posting is expanded once.
+
 A null member is no value; a metric with fixed members (weekdays, flags, indicators)
-always has all of them. Plans read ``df`` twice, whatever the number of facets.
+always has all of them. Plans read ``df`` three times, whatever the number of facets.
 """
 
 from __future__ import annotations
@@ -27,33 +33,76 @@ from .facets import _replace_whole
 TOPS = {"top_employer": 20, "top_role": 30, "top_technology": 50, "top_city": 50}
 
 
-def _row(metric: str, key: Column, weight: Column | int = 1) -> Column:
-    weight = F.lit(weight) if isinstance(weight, int) else weight
-    return F.struct(F.lit(metric).alias("metric"), key.cast("string").alias("key"), weight.cast("long").alias("w"))
+#: One report over all postings: the count's name, and which postings it counts (None: all).
+ALL: Mapping[str, Column | None] = {"n": None}
+
+
+def _inside(parts: Mapping[str, Column | None]) -> list[Column]:
+    """Which parts a posting belongs to, a boolean for each part that is not all."""
+    return [F.coalesce(cond, F.lit(False)).alias(f"_in_{name}") for name, cond in parts.items() if cond is not None]
+
+
+def _sums(parts: Mapping[str, Column | None], w: Column) -> list[Column]:
+    return [F.sum(w if cond is None else F.when(F.col(f"_in_{name}"), w)).alias(name) for name, cond in parts.items()]
+
+
+def _size(c: Column) -> Column:
+    """``size(split(c, ";"))`` without the split."""
+    return F.octet_length(c) - F.octet_length(F.replace(c, F.lit(";"), F.lit(""))) + 1
+
 
+def _of_days(df: DataFrame, singles: Mapping[tuple[str, str], Column], posted: str, inside: list[Column]) -> DataFrame:
+    """(metric, key, w) rows of what a posting has once: added up per day, then
+    laid out. Weights that are null or not above 0 do not count."""
+    names = [f"_w{i}" for i in range(len(singles))]
+    weights = [w.cast("long").alias(name) for name, w in zip(names, singles.values())]
+    flat = df.select(F.to_date(posted).alias("_day"), *weights, *inside)
+    daily = flat.groupBy("_day", *[c for c in flat.columns if c.startswith("_in_")]).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(F.when(F.col(name) > 0, F.col(name))).alias(name) for name in names])
 
-def _members(metric: str, keys: Column) -> Column:
-    """Rows of one metric from an array of keys (null: none)."""
-    return F.coalesce(F.transform(keys, lambda k: _row(metric, k)), F.array().cast("array<struct<metric:string,key:string,w:bigint>>"))
+    def row(metric: str, key: Column, w: str) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), key.alias("key"), F.col(w).alias("w"))
 
+    rows = [row("day", F.date_format("_day", "yyyy-MM-dd"), "_n"),  # a posting without a date counts too
+            *[row(metric, F.lit(key), name) for (metric, key), name in zip(singles, names)]]
+    return daily.select(F.explode(F.array(*rows)).alias("r"), *_held(daily)).select("r.*", *_held(daily)).filter("w > 0")
 
-def facet_counts(df: DataFrame, flags: Sequence[str], as_of, posted: str = "date_posted", expiry: str = "expiration") -> DataFrame:
-    """(metric, key, n) of every counted facet: one expansion of each posting, one
-    aggregate."""
-    cities = _replace_whole(F.col("city").cast("string"), {"Warsaw": "Warszawa"})
-    places = F.split(cities, ";")
-    aligned = F.when((F.size(places) == F.size(F.split("lat", ";"))) & (F.size(places) == F.size(F.split("long", ";"))), places)
-    tokens = F.transform(F.split("technologies_used", "[,;]"), lambda t: F.upper(F.trim(t)))
-    active = F.to_date(expiry) > F.lit(str(as_of)).cast("date")
-    single = F.array(
-        _row("kpi", F.when(active, F.lit("active_now"))), _row("top_employer", F.col("employer_name")), _row("top_role", F.col("core_role")),
-        _row("city_share", F.lit("Others"), F.size(F.filter(aligned, lambda c: c.isNotNull()))),
-        *[_row("flag_total", F.lit(f), F.col(f)) for f in flags])
-    found = F.concat(single, _members("region_count", F.split(F.upper("region"), ";")), _members("city_count", aligned),
-                     _members("top_city", F.split("city", ";")), _members("top_technology", F.filter(tokens, lambda t: ~t.isin("", "N/A"))))
-    day = F.array(_row("day", F.date_format(F.to_date(posted), "yyyy-MM-dd")))  # a posting without a date counts too
-    rows = F.concat(day, F.filter(found, lambda r: r["key"].isNotNull() & (r["w"] > 0)))
-    return df.select(F.explode_outer(rows).alias("r")).select("r.*").groupBy("metric", "key").agg(F.sum("w").alias("n"))
+
+def _held(df: DataFrame) -> list[str]:
+    """The columns of ``_inside``."""
+    return [c for c in df.columns if c.startswith("_in_")]
+
+
+def _members(df: DataFrame, lists: Sequence[tuple[Column | str, Column]], inside: list[Column]) -> DataFrame:
+    """(metric, key, w) rows of arrays of keys (null: none), one a member."""
+    named = [F.struct((F.lit(m) if isinstance(m, str) else m).alias("metric"), keys.alias("keys")) for m, keys in lists]
+    found = df.select(F.explode(F.array(*named)).alias("l"), *inside)
+    found = found.select("l.metric", F.explode("l.keys").alias("key"), F.lit(1).cast("long").alias("w"), *_held(found))
+    token = F.upper(F.trim("key"))
+    key = F.when(F.col("metric") != "top_technology", F.col("key")).when(~token.isin("", "N/A"), token)
+    return found.withColumn("key", key).filter("key is not null")
+
+
+def facet_counts(df: DataFrame, flags: Sequence[str], as_of, posted: str = "date_posted", expiry: str = "expiration",
+                 parts: Mapping[str, Column | None] = ALL) -> DataFrame:
+    """(metric, key, a count for each part) of every counted facet: one expansion of each
+    posting, one aggregate. A part without the key has null."""
+    city = F.col("city").cast("string")
+    cities = _replace_whole(city, {"Warsaw": "Warszawa"})
+    aligned = (_size(cities) == _size(F.col("lat").cast("string"))) & (_size(cities) == _size(F.col("long").cast("string")))
+    inside = _inside(parts)
+    singles = {("kpi", "active_now"): F.when(F.to_date(expiry) > F.lit(str(as_of)).cast("date"), 1),
+               ("city_share", "Others"): F.when(aligned, _size(cities)), **{("flag_total", f): F.col(f) for f in flags}}
+    lists = [("top_employer", F.array(F.col("employer_name").cast("string"))), ("top_role", F.array(F.col("core_role").cast("string"))),
+             ("region_count", F.split(F.upper("region"), ";")), ("top_technology", F.split("technologies_used", "[,;]")),
+             # Both city metrics count the same member, unless the lists differ in length or the name is an alias.
+             (F.when(aligned & (cities == city), F.lit("city")).otherwise(F.lit("top_city")), F.split(city, ";")),
+             ("city_count", F.when(aligned & (cities != city), F.split(cities, ";")))]
+    rows = _of_days(df, singles, posted, inside).unionByName(_members(df, lists, inside))
+    counted = rows.groupBy("metric", "key").agg(*_sums(parts, F.col("w")))
+    both = F.when(F.col("metric") == "city", F.array(F.lit("city_count"), F.lit("top_city"))).otherwise(F.array("metric"))
+    return (counted.select(F.explode(both).alias("metric"), "key", *parts).groupBy("metric", "key")
+            .agg(*[F.sum(name).alias(name) for name in parts]))
 
 
 def _derived(counts: DataFrame, as_of, tops: Mapping[str, int], share: int) -> DataFrame:
@@ -92,12 +141,17 @@ def _fixed(spark, flags: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(rows, "metric string, key string, value double")
 
 
-def salary_medians(df: DataFrame, levels: Sequence[str], start: str = "start_salary", whisker: float = 10.0) -> DataFrame:
-    """(metric, key, value): count and median start salary of each level, amounts
-    above Q3 + ``whisker`` times the interquartile range left out (A12)."""
+def salary_counts(df: DataFrame, levels: Sequence[str], start: str = "start_salary", parts: Mapping[str, Column | None] = ALL) -> DataFrame:
+    """(level, s, a count for each part): postings of each level and start salary."""
     level = F.explode(F.array(*[F.when(F.col(l) == 1, F.lit(l)) for l in levels])).alias("level")
-    counts = (df.filter(F.col(start) != 0).select(level, F.col(start).cast("double").alias("s")).filter("level is not null")
-              .groupBy("level", "s").agg(F.count(F.lit(1)).alias("c")))
+    return (df.filter(F.col(start) != 0).select(level, F.col(start).cast("double").alias("s"), *_inside(parts)).filter("level is not null")
+            .groupBy("level", "s").agg(*_sums(parts, F.lit(1).cast("long"))))
+
+
+def salary_medians(counts: DataFrame, whisker: float = 10.0) -> DataFrame:
+    """(metric, key, value): count and median start salary of each level from its
+    (level, s, c) counts, amounts above Q3 + ``whisker`` times the interquartile range
+    left out (A12)."""
     whole = Window.partitionBy("level")
     run = whole.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -122,10 +176,14 @@ def salary_medians(df: DataFrame, levels: Sequence[str], start: str = "start_sal
 
 
 def daily_report(df: DataFrame, generation_id: str, as_of, flags: Sequence[str], levels: Sequence[str],
-                 tops: Mapping[str, int] = TOPS, share: int = 9) -> DataFrame:
-    """Every facet of one report as (generation_id, metric, key, value)."""
-    parts = _derived(facet_counts(df, flags, as_of), as_of, tops, share).unionByName(_fixed(df.sparkSession, flags))
+                 tops: Mapping[str, int] = TOPS, share: int = 9, counted: Sequence[DataFrame] | None = None, part: str = "n") -> DataFrame:
+    """Every facet of one report as (generation_id, metric, key, value).
+    ``counted``: the facet and salary counts of ``df`` where they are kept for several reports,
+    of which ``part`` is reported."""
+    facet, salary = counted or (facet_counts(df, flags, as_of), salary_counts(df, levels))
+    found, paid = (c.filter(F.col(part) > 0) for c in (facet, salary))
+    parts = _derived(found.select("metric", "key", F.col(part).alias("n")), as_of, tops, share).unionByName(_fixed(df.sparkSession, flags))
     value = (F.when((F.col("metric") == "date_bound") & (F.col("key") == "min_date"), F.min("value"))
              .when(F.col("metric") == "date_bound", F.max("value")).otherwise(F.sum("value")))
-    found = parts.groupBy("metric", "key").agg(value.alias("value")).unionByName(salary_medians(df, levels))
-    return found.select(F.lit(generation_id).alias("generation_id"), "metric", "key", "value")
+    rows = parts.groupBy("metric", "key").agg(value.alias("value")).unionByName(salary_medians(paid.select("level", "s", F.col(part).alias("c"))))
+    return rows.select(F.lit(generation_id).alias("generation_id"), "metric", "key", "value")
