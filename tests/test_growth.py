@@ -151,3 +151,28 @@ def test_page_reader_needs_no_package_on_workers(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": os.path.dirname(os.path.dirname(cloudpickle.__file__))}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert out.stdout.strip() == "['a']", (hirelens.__file__, out.stderr[-500:])
+
+
+# --------------------------------------------------------- plans of kept frames
+DOCS = [(1, {"city": "town1"}), (2, {"city": "town1"}), (3, {"company": "Firm0000", "expiration_date": "current"}), (4, {"experience_level": "🌱 Junior"}),
+        (5, {"company": "nobody"}), (6, {"notification_time": "10:10"}), (7, {"city": "Town2;Town3", "notification_time": "10:10"})]
+
+
+def kept(spark, folder):
+    def keep(df):
+        path = f"{folder}/{len(list(folder.iterdir()))}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    return keep
+
+
+def plan_size(df):
+    return len(df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_digest_of_kept_frames_has_a_small_plan(spark, tmp_path):
+    window, subs = posts(spark, 60), parsed(spark, DOCS)
+    lazy, small = (subscriptions.digest_window(window, subs, "2024-01-10", 5, 12, **k) for k in ({}, {"keep": kept(spark, tmp_path)}))
+    assert plan_size(small) < 15_000 < plan_size(lazy)
+    want = sorted(lazy.collect())
+    assert sorted(small.collect()) == want and len(want) == 7
