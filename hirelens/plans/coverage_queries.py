@@ -15,7 +15,7 @@ from ..sources.tables import lookup_key, read_columns, read_staging, read_table
 from ..streaming import ingest
 from .registry import register
 from .rule_queries import _kw_sql, _pick, _pick_sql, _translate_input, _translate_sql
-from .subscription_queries import _MATCH_CTE, DUE_MINUTE, LOOKBACK, _parsed_subs, window_view
+from .subscription_queries import _MATCH_CTE, DUE_MINUTE, LOOKBACK, _parsed_subs, stored, stored_subs, window_view
 
 
 # ------------------------------------------------------------------- S2 / S5
@@ -193,5 +193,5 @@ due AS (SELECT chat_id FROM ok WHERE notification_time = '{DUE_MINUTE}')
 SELECT d.chat_id, count(m.id) AS n, '{DUE_MINUTE}' AS minute FROM due d LEFT JOIN matches m ON d.chat_id = m.chat_id
 GROUP BY d.chat_id""", pv=True)
 def q_due_digest(spark, sf):
-    out = ingest.due_matches(window_view(spark, sf), dims.subscriptions(spark, sf), DUE_MINUTE, AS_OF, LOOKBACK)
+    out = ingest.due_matches(window_view(spark, sf), stored_subs(spark, sf), DUE_MINUTE, AS_OF, LOOKBACK, keep=stored)
     return out.select("chat_id", "n", "minute")

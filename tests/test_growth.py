@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from hirelens.operators import enrich, filters, quantiles, subscriptions
+from hirelens.streaming import ingest
 
 POSTS = "id int, city string, region string, core_role string, employer_name string, junior int, senior int, expiration date, date_posted date, job_title string, url string"
 
@@ -176,3 +177,11 @@ def test_digest_of_kept_frames_has_a_small_plan(spark, tmp_path):
     assert plan_size(small) < 15_000 < plan_size(lazy)
     want = sorted(lazy.collect())
     assert sorted(small.collect()) == want and len(want) == 7
+
+
+def test_due_digest_of_kept_frames_has_a_small_plan(spark, tmp_path):
+    window = posts(spark, 60)
+    raw = parsed(spark, DOCS).select("chat_id", F.col("filters").alias("filters_for_notification"))
+    lazy, small = (ingest.due_matches(window, raw, "10:10", "2024-01-10", 5, **k) for k in ({}, {"keep": kept(spark, tmp_path)}))
+    assert plan_size(small) < 15_000 < plan_size(lazy)
+    assert sorted((r.chat_id, r.n) for r in small.collect()) == [(6, 60), (7, 18)]
