@@ -185,3 +185,10 @@ def test_due_digest_of_kept_frames_has_a_small_plan(spark, tmp_path):
     lazy, small = (ingest.due_matches(window, raw, "10:10", "2024-01-10", 5, **k) for k in ({}, {"keep": kept(spark, tmp_path)}))
     assert plan_size(small) < 15_000 < plan_size(lazy)
     assert sorted((r.chat_id, r.n) for r in small.collect()) == [(6, 60), (7, 18)]
+
+
+def test_pairs_of_kept_frames_have_a_small_plan(spark, tmp_path):
+    window, subs = posts(spark, 60), parsed(spark, DOCS)
+    lazy, small = (subscriptions.match_pairs(window, subs, "2024-01-10", **k) for k in ({}, {"keep": kept(spark, tmp_path)}))
+    assert plan_size(small) < 15_000 < plan_size(lazy)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, lazy.collect()))
