@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from hirelens.operators import enrich, filters, quantiles, subscriptions
+from hirelens.plans import subscription_queries
 from hirelens.streaming import ingest
 
 POSTS = "id int, city string, region string, core_role string, employer_name string, junior int, senior int, expiration date, date_posted date, job_title string, url string"
@@ -192,3 +193,16 @@ def test_pairs_of_kept_frames_have_a_small_plan(spark, tmp_path):
     lazy, small = (subscriptions.match_pairs(window, subs, "2024-01-10", **k) for k in ({}, {"keep": kept(spark, tmp_path)}))
     assert plan_size(small) < 15_000 < plan_size(lazy)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, lazy.collect()))
+
+
+def test_saved_search_matches_plans_begin_at_stored_rows(spark, monkeypatch):
+    raw = parsed(spark, DOCS).select("chat_id", "filters")
+    monkeypatch.setattr(subscription_queries.dims, "subscriptions", lambda s, d: raw)
+    monkeypatch.setattr(subscription_queries, "window_view", lambda s, d: posts(spark, 60))
+    out = subscription_queries.q_saved_search_matches(spark, "")
+    assert plan_size(out) < 15_000
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.chat_id, set()).add(r.id)
+    # The firms' postings expire in 2024: all are open on the queries' day.
+    assert {c: len(ids) for c, ids in got.items()} == {1: 9, 2: 9, 3: 10, 4: 30, 6: 60, 7: 18}
