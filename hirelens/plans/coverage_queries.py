@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from ..functions import classify, parse, text
 from ..mappings import BENEFIT_CATEGORIES, BENEFIT_COLUMNS
 from ..operators import facets, filters, shaping, subscriptions as subs_ops
+from ..session import stored
 from ..sources import dims
 from ..sources.postings import AS_OF, postings
 from ..sources.tables import lookup_key, read_columns, read_staging, read_table
 from ..streaming import ingest
 from .registry import register
 from .rule_queries import _kw_sql, _pick, _pick_sql, _translate_input, _translate_sql
-from .subscription_queries import _MATCH_CTE, DUE_MINUTE, LOOKBACK, _parsed_subs, stored, stored_subs, window_view
+from .subscription_queries import _MATCH_CTE, DUE_MINUTE, LOOKBACK, _parsed_subs, stored_subs, window_view
 
 
 # ------------------------------------------------------------------- S2 / S5

@@ -2,10 +2,12 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from hirelens import session
 from hirelens.operators import enrich, filters, quantiles, subscriptions
-from hirelens.plans import subscription_queries
+from hirelens.plans import io_queries, pipeline, subscription_queries
 from hirelens.streaming import ingest
 
 POSTS = "id int, city string, region string, core_role string, employer_name string, junior int, senior int, expiration date, date_posted date, job_title string, url string"
@@ -206,3 +208,57 @@ def test_saved_search_matches_plans_begin_at_stored_rows(spark, monkeypatch):
         got.setdefault(r.chat_id, set()).add(r.id)
     # The firms' postings expire in 2024: all are open on the queries' day.
     assert {c: len(ids) for c, ids in got.items()} == {1: 9, 2: 9, 3: 10, 4: 30, 6: 60, 7: 18}
+
+
+# ------------------------------------------------------------- the batch chain
+def own_postings(spark):
+    """Postings in two parts, so that a plan that is not cut shows both."""
+    part = spark.range(12).select(
+        F.col("id"), F.concat(F.lit("large ring "), (F.col("id") % 3).cast("string")).alias("job_title"), F.lit("LARGE").alias("core_role"),
+        F.lit("Customer#000000001").alias("employer_name"), F.lit("NATION_1").alias("city"), F.lit("NATION_1").alias("location_raw"),
+        F.lit("do 01.09.1998").alias("expiration_raw"), F.lit("100 – 200 zł brutto").alias("salary_raw"), F.lit("SQL").alias("technologies_used"),
+        F.lit("u").alias("url"), F.lit("1998-08-01").cast("date").alias("date_posted"), F.lit("x").alias("upload_id"))
+    return part.unionByName(part.withColumn("id", F.col("id") + 12))
+
+
+def leaves(df):
+    return df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+@pytest.mark.parametrize("query", ["curated_append", "report_columns", "curated_batch"])
+def test_the_batch_chain_begins_at_stored_rows(spark, monkeypatch, query):
+    class Seen(Exception):
+        pass
+
+    def chain(raw, *_):
+        assert leaves(raw) == 1
+        raise Seen
+
+    monkeypatch.setattr(io_queries, "postings", lambda s, d: own_postings(spark))
+    monkeypatch.setattr(io_queries.pipeline, "run_batch", chain)
+    for dim in ("gazetteer", "titles"):
+        monkeypatch.setattr(io_queries.dims, dim, lambda s, d: None)
+    with pytest.raises(Seen):
+        getattr(io_queries, f"q_{query}")(spark, "")
+
+
+def test_materialized_rows_are_columnar_files(spark):
+    kept_rows = session.materialize(own_postings(spark).groupBy("job_title").agg(F.count(F.lit(1)).alias("n")))
+    assert kept_rows.inputFiles() and all(f.endswith(".parquet") for f in kept_rows.inputFiles())
+    assert {(r.job_title, r.n) for r in kept_rows.collect()} == {(f"large ring {i}", 8) for i in range(3)}
+
+
+def test_wide_rows_of_the_batch_are_shuffled_once(spark):
+    raw = pipeline.raw_from_postings(own_postings(spark)).withColumn("id", F.col("id").cast("string"))
+    rows = raw.withColumns({"city": F.lit("c"), "region": F.lit("r"), "lat": F.lit("1"), "long": F.lit("2"), "work_type": F.lit("Remote")})
+    # Rows without a title or an employer, and one key twice, all stay.
+    rows = rows.withColumn("job_title", F.when(F.col("id") != "3", F.col("job_title"))).withColumn("employer_name", F.when(F.col("id") != "4", F.col("employer_name")))
+    rows = rows.withColumn("id", F.when(F.col("id") == "6", "5").otherwise(F.col("id")))
+    titles = spark.createDataFrame([(0, "large ring large")], "idx int, title string")
+    vocabulary = spark.createDataFrame([("SQL",), ("LARGE",)], "tech string")
+    out = pipeline.enrich_postings(rows, titles, vocabulary, "1998-08-02", materialize=False)
+    got = out.select("id", "job_title", "employer_name", "core_role", "technologies_used").collect()
+    assert len(got) == 24 and sum(r.id == "5" for r in got) == 2 and sum(r.employer_name is None for r in got) == 1
+    assert all("SQL" in r.technologies_used for r in got) and all((r.core_role is None) == (r.job_title is None) for r in got)
+    wide = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x and "<=>" in x]
+    assert len(wide) == 1
