@@ -262,3 +262,18 @@ def test_wide_rows_of_the_batch_are_shuffled_once(spark):
     assert all("SQL" in r.technologies_used for r in got) and all((r.core_role is None) == (r.job_title is None) for r in got)
     wide = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x and "<=>" in x]
     assert len(wide) == 1
+
+
+def test_a_batch_that_runs_again_enriches_nothing(spark, tmp_path, monkeypatch):
+    raw = pipeline.raw_from_postings(own_postings(spark))
+    gazetteer = spark.createDataFrame([("NATION_1", "Nation-1", "ASIA", "ASIA", 1.5, -1.5, 1)], "city string, city_ascii string, admin_name string, "
+                                      "admin_name_english string, lat double, lng double, gaz_order long")
+    titles = spark.createDataFrame([(0, "large ring large")], "idx int, title string")
+    paths = {k: f"{tmp_path}/{k}" for k in ("staging", "history", "curated")}
+    enriched, real = [], pipeline.enrich_postings
+    monkeypatch.setattr(pipeline, "enrich_postings", lambda rows, *a: (enriched.append(rows), real(rows, *a))[1])
+    rows = []
+    for _ in range(2):
+        ingest.process_batch(spark, raw, 0, paths, gazetteer, titles, "1998-08-02")
+        rows.append(sorted(r.id for r in spark.read.parquet(paths["curated"]).collect()))
+    assert len(enriched) == 1 and rows[0] == rows[1] and rows[0]
